@@ -268,9 +268,9 @@ def validate_intent_json(
     confidence = F.when(given.isNull(), F.lit(missing_confidence)).otherwise(
         F.coalesce(given.try_cast("double"), F.lit(0.0))
     )
-    limit = F.coalesce(
-        F.greatest(F.lit(1), F.least(F.lit(25), payload["limit"].try_cast("double").cast("int"))),
-        F.lit(10),
+    asked = payload["limit"].try_cast("double").try_cast("int")
+    limit = F.when(asked.isNull(), 10).otherwise(
+        F.greatest(F.lit(1), F.least(F.lit(25), asked))
     )
     sure = is_object & named.isin(*vocab.INTENTS) & (confidence >= threshold)
     filters = F.when(payload["filters"].startswith("{"), payload["filters"])

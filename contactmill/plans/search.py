@@ -204,7 +204,7 @@ def search_lead_by_name(leads: DataFrame, name: str) -> DataFrame:
 
 # --- questions --------------------------------------------------------------
 def _limit_in(text: Column, default: int, most: int) -> Column:
-    number = blank_to_null(F.regexp_extract(text, r"\b(\d{1,2})\b", 1)).cast("int")
+    number = blank_to_null(F.regexp_extract(text, r"(?U)\b(\d{1,2})\b", 1)).cast("int")
     return F.when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(most), number))).otherwise(
         F.lit(default)
     )

@@ -178,7 +178,7 @@ DOMAIN_PATTERN = (
 PHONE_PATTERN = rf"\+?\p{{Nd}}[\p{{Nd}}{SPACE_CLASS}().-]{{7,}}\p{{Nd}}"
 LINKEDIN_PATTERN = rf"(?i)https?://(?:www\.)?linkedin\.com/[^{SPACE_CLASS}<>\"']+"
 DATE_PATTERN = (
-    r"(?i)\b(\d{4}-\d{2}-\d{2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|"
+    r"(?iU)\b(\d{4}-\d{2}-\d{2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|"
     r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})\b"
 )
 TIER_NAMES = (
@@ -189,5 +189,5 @@ TIER_RATING_PATTERN = rf"(?i)({TIER_NAMES})\s+([\d.]+)\s*\((\d+)\)"
 TIER_LINE_PATTERN = rf"(?i)^({TIER_NAMES})$"
 RATING_LINE_PATTERN = r"^\d+(?:\.\d+)?$"
 REVIEW_LINE_PATTERN = r"^\((\d+)\)$"
-PARTNER_SINCE_PATTERN = r"(?i)\bPartner since\s+([A-Za-z]+\s+\d{4})\b"
+PARTNER_SINCE_PATTERN = r"(?iU)\bPartner since\s+([A-Za-z]+\s+\d{4})\b"
 SEARCH_WORD_PATTERN = "[a-z0-9ćčžšđ]+"
