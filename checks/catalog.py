@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from checks import reports, texts  # noqa: F401
+from checks import extracts, reports, texts  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

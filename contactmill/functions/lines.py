@@ -35,7 +35,16 @@ def split_lines(text: Column) -> Column:
 
 
 def clean_lines(text: Column) -> Column:
-    return F.filter(split_lines(text), lambda l: l != "")
+    """The non-blank lines, trimmed.
+
+    Splitting takes the white space around a break with it, so there is no
+    per-line trimming; zero-width characters are looked for once per text.
+    """
+    lines = F.split(strip(text), vocab.BREAK_WITH_MARGIN)
+    marked = text.rlike(vocab.ZERO_WIDTH_CLASS)
+    return F.when(marked, F.filter(F.transform(lines, clean_line), lambda l: l != "")).otherwise(
+        F.when(strip(text) == "", no_lines()).otherwise(lines)
+    )
 
 
 def head(lines: Column, n: int) -> Column:

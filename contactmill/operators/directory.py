@@ -141,25 +141,38 @@ def profile_cut(tail: Column) -> Column:
 
 
 # --- pieces of the profile ------------------------------------------------------
-def tier_signals(text: Column, lines: Column) -> dict[str, Column]:
+def tier_signals(text: Column, lines: Column) -> Column:
     """Tier, rating and review count: inline, else a tier line with what follows, else a phrase."""
-    inline = blank_to_null(F.regexp_extract(text, vocab.TIER_RATING_PATTERN, 1))
-    at = index_where(head(lines, 20), lambda l: l.rlike(vocab.TIER_LINE_PATTERN))
-    ahead = F.slice(lines, at + 1, F.lit(7))
-    rating = first_where(ahead, lambda l: l.rlike(vocab.RATING_LINE_PATTERN))
-    counts = F.filter(ahead, lambda l: l.rlike(vocab.REVIEW_LINE_PATTERN))
-    count = F.regexp_extract(F.try_element_at(counts, F.lit(-1)), vocab.REVIEW_LINE_PATTERN, 1)
+    def values(tier, rating, count) -> Column:
+        return F.struct(
+            tier.alias("partner_tier"),
+            rating.try_cast("double").alias("rating"),
+            count.try_cast("long").alias("review_count"),
+        )
 
-    def pick(a: Column, b: Column, c: Column) -> Column:
-        return F.when(inline.isNotNull(), a).when(at > 0, b).otherwise(c)
+    def group(n: int) -> Column:
+        return F.regexp_extract(text, vocab.TIER_RATING_PATTERN, n)
 
     none = F.lit(None).cast("string")
-    return {
-        "partner_tier": pick(inline, F.try_element_at(lines, F.nullif(at, F.lit(0))), partner_tier(text)),
-        "rating": pick(F.regexp_extract(text, vocab.TIER_RATING_PATTERN, 2), rating, none).try_cast("double"),
-        "review_count": pick(F.regexp_extract(text, vocab.TIER_RATING_PATTERN, 3), count, none).try_cast("long"),
-        "plus_partner_signal": F.lower(text).contains("plus partner"),
-    }
+
+    def by_line(at: Column) -> Column:
+        def from_ahead(ahead: Column) -> Column:
+            counts = F.filter(ahead, lambda l: l.rlike(vocab.REVIEW_LINE_PATTERN))
+            last = F.try_element_at(counts, F.lit(-1))
+            return values(
+                F.try_element_at(lines, F.nullif(at, F.lit(0))),
+                first_where(ahead, lambda l: l.rlike(vocab.RATING_LINE_PATTERN)),
+                F.regexp_extract(last, vocab.REVIEW_LINE_PATTERN, 1),
+            )
+
+        return F.when(at > 0, let(F.slice(lines, at + 1, F.lit(7)), from_ahead)).otherwise(
+            values(partner_tier(text), none, none)
+        )
+
+    tiered = index_where(head(lines, 20), lambda l: l.rlike(vocab.TIER_LINE_PATTERN))
+    return F.when(text.rlike(vocab.TIER_RATING_PATTERN), values(group(1), group(2), group(3))).otherwise(
+        let(tiered, by_line)
+    )
 
 
 def directory_website(text: Column, contact: Column) -> Column:
@@ -180,16 +193,16 @@ def directory_website(text: Column, contact: Column) -> Column:
 
 def directory_email(text: Column, contact: Column, website: Column) -> Column:
     """The address on the site's own domain, else the first; markdown links keep their form."""
-    domain = extract_domain(website)
-
     def pick(usable: Column) -> Column:
-        own = first_where(
-            usable,
-            lambda k: F.coalesce(
-                F.substring_index(F.lower(email_value(k)), "@", -1) == domain, F.lit(False)
-            ),
-        )
-        return F.coalesce(own, line_at(usable, 1))
+        def on_domain(domain: Column) -> Column:
+            return first_where(
+                usable,
+                lambda k: F.coalesce(
+                    F.substring_index(F.lower(email_value(k)), "@", -1) == domain, F.lit(False)
+                ),
+            )
+
+        return F.coalesce(let(extract_domain(website), on_domain), line_at(usable, 1))
 
     def usable(tokens: Column) -> Column:
         return F.filter(tokens, lambda k: ~is_host_mail(F.lower(email_value(k))))
@@ -347,6 +360,7 @@ def extract_directory(docs: DataFrame, text: str, out: str) -> DataFrame:
             "_s_contact": section_after(lines, "Contact information", CONTACT_STOPS),
             "_s_places": split_comma_items(list_section(lines, "Supported locations", SUPPORTED_STOPS)),
             "_s_about": directory_description(lines),
+            "_s_tier": tier_signals(F.array_join(lines, "\n"), lines),
         }
     )
     docs = docs.withColumn("_s_site", directory_website(page, F.col("_s_contact")))
@@ -361,7 +375,10 @@ def extract_directory(docs: DataFrame, text: str, out: str) -> DataFrame:
             company_email=F.col("_s_mail"),
             company_email_address=F.lower(email_value(F.col("_s_mail"))),
             company_phone=extract_phone(page),
-            **tier_signals(page, lines),
+            partner_tier=F.col("_s_tier.partner_tier"),
+            rating=F.col("_s_tier.rating"),
+            review_count=F.col("_s_tier.review_count"),
+            plus_partner_signal=F.lower(page).contains("plus partner"),
             partner_since=partner_since(page, lines),
             primary_location=section_text(lines, "Primary location", PRIMARY_STOPS),
             supported_locations=F.col("_s_places"),

@@ -19,6 +19,7 @@ from contactmill.functions.lines import (
     drop,
     first_where,
     head,
+    let,
     line_at,
 )
 from contactmill.functions.text import (
@@ -198,32 +199,42 @@ def extract_linkedin_person(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 def header_people(text: Column) -> Column:
     """Name and address pairs of From/To/Cc/Reply-To lines, one per address."""
-    lines = F.transform(head(F.split(text, vocab.LINE_BREAK), 40), strip)
-    headers = F.filter(
-        lines,
-        lambda l: F.lower(l).rlike("^(?:" + "|".join(vocab.HEADER_PREFIXES) + ")"),
-    )
+    starts = rf"(?i)^[{vocab.SPACE_CLASS}]*(?:" + "|".join(vocab.HEADER_PREFIXES) + "):"
+    headers = F.filter(head(F.split(text, vocab.LINE_BREAK), 40), lambda l: l.rlike(starts))
 
     def bare(name: Column) -> Column:
         return blank_to_null(F.trim(F.trim(strip(name), F.lit('"')), F.lit("'")))
 
-    def parse(line: Column) -> Column:
-        rest = strip(F.regexp_replace(line, "^[^:]*:", ""))
+    def parse(rest: Column) -> Column:
         inner = blank_to_null(F.regexp_extract(rest, "<([^>]+@[^>]+)>", 1))
         plain = blank_to_null(F.regexp_extract(rest, vocab.EMAIL_PATTERN, 0))
-        before = F.regexp_extract(rest, "(?s)^(.*?)<[^>]+@[^>]+>", 1)
-        mail = F.coalesce(email_value(inner), plain)
-        name = F.when(inner.isNotNull(), bare(before)).otherwise(
-            bare(F.replace(rest, plain, F.lit("")))
-        )
-        return F.struct(name.alias("name"), mail.alias("email"), normalize_email(mail).alias("key"))
 
-    found = F.filter(F.transform(headers, parse), lambda p: p["key"].isNotNull())
-    first = F.filter(
-        found,
-        lambda p, i: F.array_position(F.transform(found, lambda o: o["key"]), p["key"]) == i + 1,
-    )
-    return F.transform(first, lambda p: person(name=p["name"], email=p["email"]))
+        def pair(both: Column) -> Column:
+            before = F.regexp_extract(rest, "(?s)^(.*?)<[^>]+@[^>]+>", 1)
+            name = F.when(both["inner"].isNotNull(), bare(before)).otherwise(
+                bare(F.replace(rest, both["plain"], F.lit("")))
+            )
+            mail = F.coalesce(email_value(both["inner"]), both["plain"])
+            return F.struct(name.alias("name"), mail.alias("email"))
+
+        return let(F.struct(inner.alias("inner"), plain.alias("plain")), pair)
+
+    values = F.transform(headers, lambda l: strip(F.regexp_replace(l, "^[^:]*:", "")))
+    found = F.filter(F.transform(values, parse), lambda p: p["email"].isNotNull())
+
+    def one_per_address(people: Column) -> Column:
+        def first_only(keys: Column) -> Column:
+            kept = F.filter(
+                people,
+                lambda p, i: F.coalesce(
+                    F.array_position(keys, F.get(keys, i)) == i + 1, F.lit(False)
+                ),
+            )
+            return F.transform(kept, lambda p: person(name=p["name"], email=p["email"]))
+
+        return let(F.transform(people, lambda p: normalize_email(p["email"])), first_only)
+
+    return let(found, one_per_address)
 
 
 def title_case(c: Column) -> Column:
@@ -319,13 +330,20 @@ def merge_email_people(parsed: Column, message: Column) -> Column:
                    email=F.coalesce(same["email"], p["email"])),
         ).otherwise(p)
 
-    people = F.transform(parsed["people"], filled)
-    known = F.transform(people, lambda p: normalize_email(p["email"]))
-    unseen = F.filter(
-        message["people"],
-        lambda h: ~F.coalesce(F.array_contains(F.array_compact(known), normalize_email(h["email"])), F.lit(False)),
-    )
-    return F.concat(people, unseen)
+    def completed(people: Column) -> Column:
+        def with_unseen(known: Column) -> Column:
+            unseen = F.filter(
+                message["people"],
+                lambda h: ~F.coalesce(
+                    F.array_contains(known, normalize_email(h["email"])), F.lit(False)
+                ),
+            )
+            return F.concat(people, unseen)
+
+        addresses = F.transform(people, lambda p: normalize_email(p["email"]))
+        return let(F.array_compact(addresses), with_unseen)
+
+    return let(F.transform(parsed["people"], filled), completed)
 
 
 def resolve_extraction(docs: DataFrame, model_output: str = "model_output") -> DataFrame:

@@ -47,7 +47,7 @@ HOST_SITES = ("shopify.com", "linkedin.com")
 REPLY_MARKERS = (
     "?", "please reply", "let me know", "follow up", "waiting for", "deadline", "asap",
 )
-HEADER_PREFIXES = ("from:", "to:", "cc:", "reply-to:")
+HEADER_PREFIXES = ("from", "to", "cc", "reply-to")
 
 # --- fixed values: title classification -----------------------------------
 DECISION_MAKER_TITLES = (
@@ -167,6 +167,12 @@ WHITE_SPACE = "".join(
 ZERO_WIDTH = "".join(chr(c) for c in (0xFEFF, 0x200B, 0x200C, 0x200D))
 SPACE_CLASS = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+# Line breaks with the white space around them; starts only where a run of it starts.
+BREAK_WITH_MARGIN = (
+    rf"(?<![{SPACE_CLASS}])[{SPACE_CLASS}]*"
+    rf"[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}][{SPACE_CLASS}]*"
+)
+ZERO_WIDTH_CLASS = r"[\x{FEFF}\x{200B}-\x{200D}]"
 URL_PATTERN = rf"(?i)https?://[^{SPACE_CLASS}<>\"']+"
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 MAILTO_PATTERN = r"(?i)\[([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\]\(mailto:[^)]+\)"
