@@ -92,7 +92,7 @@ FROM {part} p""",
 SELECT o.o_orderkey AS id, o.o_custkey AS lead_id, CAST(NULL AS BIGINT) AS person_id,
   CASE o.o_orderkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'Email' ELSE 'call' END AS type,
   concat('Order ', o.o_orderkey) AS subject, CAST(NULL AS STRING) AS body,
-  concat('Total ', CAST(CAST(o.o_totalprice AS BIGINT) AS STRING)) AS summary,
+  concat('Total ', CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS STRING)) AS summary,
   o.o_orderkey % 4 = 0 AS reply_needed,
   CASE WHEN o.o_orderkey % 3 = 1 THEN NULL ELSE CAST(CAST(o.o_orderdate AS DATE) + 14 AS STRING) END AS deadline,
   o.o_orderpriority AS priority, CAST(NULL AS STRING) AS next_action,
@@ -258,6 +258,8 @@ def oracle(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

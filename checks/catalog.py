@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from checks import extracts, linking, reports, texts  # noqa: F401
+from checks import extracts, linking, model, reports, texts  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

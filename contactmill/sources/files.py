@@ -145,6 +145,8 @@ def leads_csv_rows(t: Tables) -> DataFrame:
 def export_leads_csv(t: Tables, path: str) -> None:
     """The lead list as CSV files with a header, in rank order across the files."""
     ordered = leads_csv_rows(t).orderBy(*by_rank()).select(*CSV_COLUMNS)
-    csv_formula_guard(ordered).write.mode("errorifexists").option("header", True).csv(path)
+    csv_formula_guard(ordered).write.mode("errorifexists").csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 

@@ -61,7 +61,18 @@ def stream_dedupe_apply(commands: DataFrame, lateness: str = "1 day") -> DataFra
     return commands.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["command_id"])
 
 
-def read_event_stream(spark, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
-    """Event files as a stream with ``ts`` as a zoned timestamp."""
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def read_event_stream(
+    spark, folder: str, schema, glob: str = "*.parquet", max_bytes: str = "1g"
+) -> DataFrame:
+    """Event files as a stream with ``ts`` as a zoned timestamp.
+
+    ``max_bytes`` bounds a micro-batch, and with it what one command can bring
+    to its task at a time.
+    """
+    raw = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", glob)
+        .option("maxBytesPerTrigger", max_bytes)
+        .parquet(folder)
+    )
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
