@@ -137,7 +137,7 @@ SELECT k.record_id, coalesce(h.old, n.new) AS lead_id, n.new IS NOT NULL AS is_n
 
 @query("resolve_leads", RESOLVED_SQL)
 def _(v):
-    return linkage.resolve_leads(firms(v, NAMED), v.leads).drop("possible_duplicate")
+    return linkage.resolve_leads(firms(v, NAMED), v.leads).drop("possible_duplicate", "creates")
 
 
 # Names and sites disagree here, so components are replayed in arrival order.
@@ -168,7 +168,7 @@ def _(v):
 # --- merging ----------------------------------------------------------------------------------
 WRITES = """
 SELECT o_orderkey AS record_id, CAST(o_orderdate AS TIMESTAMP) AS arrived, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS lead_id,
-  CASE WHEN o_orderkey % 6 = 0 THEN 'email' ELSE 'website' END AS source_type, false AS is_new,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'email' ELSE 'website' END AS source_type, false AS creates,
   CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE concat('Name ', o_orderkey) END AS company_name,
   CASE o_orderkey % 3 WHEN 0 THEN concat('https://www.n', o_orderkey, '.example/x') ELSE NULL END AS website,
   CASE o_orderkey % 7 WHEN 0 THEN concat('m', o_orderkey, '@n.example') ELSE NULL END AS company_email,

@@ -427,7 +427,7 @@ def _replay_step(state: _Replay, row):
                 break
     known = place is not None
     if not known and not name:
-        return (row.record_id, -1, -1, False)
+        return (row.record_id, -1, -1, False, False)
     writes_name = not (known and row.is_mail) and name is not None
     matches = state.find(name=name if writes_name else None, domain=domain)
     if known:
@@ -442,16 +442,16 @@ def _replay_step(state: _Replay, row):
             new_name, new_raw = name, raw
     state.put(place, raw=new_raw, name=new_name, domain=domain, mail=mail)
     if place[0] == 0:
-        return (row.record_id, place[1], -1, repeated)
-    return (row.record_id, -1, place[1], repeated)
+        return (row.record_id, place[1], -1, repeated, False)
+    return (row.record_id, -1, place[1], repeated, place[1] == row.place)
 
 
 def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
-    """``record_id, lead_id, is_new, possible_duplicate`` for every record.
+    """``record_id, lead_id, is_new, creates, possible_duplicate`` for every record.
 
     ``records`` comes from ``linkage_records``. New leads get the ids a
     one-by-one run would give: after the largest stored id, by arrival of the
-    record that creates them. ``lead_id`` is NULL where nothing matches and the
+    record that ``creates`` them. ``lead_id`` is NULL where nothing matches and the
     record may not create a lead.
 
     Nameless records of a creating type share one placeholder lead per type;
@@ -459,13 +459,11 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
     """
     nameless = F.col("name_key").isNull() & F.col("attach").isNull()
     placeholder = nameless & F.col("source_type").isin(*NAMELESS_CREATES)
-    records = cut_lineage(
-        number_rows(records, ["arrived", "record_id"], "place")
-    )
+    records = number_rows(records, ["arrived", "record_id"], "place")
     held = leads.select("id", "company_name", "normalized_name", "domain", "company_email")
     open_rows = records.filter(~placeholder)
 
-    parts = cut_lineage(connected_components(star_edges(_keyed_nodes(open_rows, held))))
+    parts = connected_components(star_edges(_keyed_nodes(open_rows, held)))
     rec = with_component(
         open_rows.withColumn("node", _record_node(F.col("record_id"))), parts
     ).withColumn("kind", F.lit(1))
@@ -522,12 +520,14 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
         F.col("first_lead").alias("old_lead"),
         F.when(F.col("first_lead").isNull(), F.col("first_place")).alias("creator"),
         (F.col("n_leads") > 1).alias("possible_duplicate"),
+        (F.col("first_lead").isNull() & (F.col("place") == F.col("first_place"))).alias("creates"),
     )
     alone = routed.filter(is_record & (F.col("route") == "lone")).select(
         "record_id",
         F.col("attach").alias("old_lead"),
         F.lit(None).cast("long").alias("creator"),
         F.lit(False).alias("possible_duplicate"),
+        F.lit(False).alias("creates"),
     )
     mixed = routed.filter(F.col("route") == "mixed").select(
         "component", "kind", "record_id", "name", "name_key", "match_domain", "domain_key",
@@ -539,7 +539,7 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
     )
     replayed = fold_in_order(
         mixed, "component", ["kind", "place", "record_id"], _Replay, _replay_step,
-        "record_id long, old_lead long, creator long, possible_duplicate boolean",
+        "record_id long, old_lead long, creator long, possible_duplicate boolean, creates boolean",
     ).withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("old_lead", "creator")})
 
     unnamed = records.filter(placeholder).withColumn("name_key", placeholder_key(F.col("source_type")))
@@ -555,6 +555,7 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
         "old_lead",
         F.when(F.col("old_lead").isNull(), F.col("first_place")).alias("creator"),
         F.lit(False).alias("possible_duplicate"),
+        (F.col("old_lead").isNull() & (F.col("place") == F.col("first_place"))).alias("creates"),
     )
 
     linked = cut_lineage(
@@ -569,6 +570,7 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
         "record_id",
         F.coalesce("old_lead", "_new").alias("lead_id"),
         F.col("_new").isNotNull().alias("is_new"),
+        "creates",
         "possible_duplicate",
     )
 

@@ -43,10 +43,10 @@ def last_set(c: Column, order: Column) -> Column:
 def lead_changes(resolved: DataFrame) -> DataFrame:
     """Resolved records as lead writes, defaults filled so that they overwrite.
 
-    ``resolved`` has ``record_id, arrived, lead_id, source_type, is_new`` and
+    ``resolved`` has ``record_id, arrived, lead_id, source_type, creates`` and
     the parsed lead fields. A mail linked to an existing lead leaves its name.
     """
-    keeps_name = (F.col("source_type") == "email") & ~F.col("is_new")
+    keeps_name = (F.col("source_type") == "email") & ~F.col("creates")
     name = blank_to_null(sanitize_company_name(F.col("company_name")))
     none = "array<string>"
 

@@ -62,7 +62,7 @@ def stream_dedupe_apply(commands: DataFrame, lateness: str = "1 day") -> DataFra
 
 
 def read_event_stream(
-    spark, folder: str, schema, glob: str = "*.parquet", max_bytes: str = "1g"
+    spark, folder: str, schema, glob: str = "*.parquet", max_bytes: int = 1 << 30
 ) -> DataFrame:
     """Event files as a stream with ``ts`` as a zoned timestamp.
 
