@@ -116,7 +116,10 @@ def section_after(lines: Column, header: str, stops=()) -> Column:
             no_lines()
         )
 
-    at = index_where(lines, lambda l: (F.lower(l) == low) | F.lower(l).startswith(low + ":"))
+    # The first characters decide: the whole line is the header, or a colon follows it.
+    at = index_where(
+        lines, lambda l: F.lower(F.substring(l, 1, len(low) + 1)).isin(low, low + ":")
+    )
     return F.when(lines.isNotNull(), let(at, found))
 
 

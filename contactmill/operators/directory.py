@@ -81,15 +81,24 @@ def is_noise(line: Column) -> Column:
     )
 
 
+def is_rating(line: Column) -> Column:
+    """A bare number; the first character saves most lines the pattern."""
+    return F.substring(line, 1, 1).between("0", "9") & line.rlike(vocab.RATING_LINE_PATTERN)
+
+
+def is_review_count(line: Column) -> Column:
+    return line.startswith("(") & line.rlike(vocab.REVIEW_LINE_PATTERN)
+
+
 def is_company_line(line: Column) -> Column:
     low = F.lower(line)
     return ~(
         is_noise(line)
         | is_one_of(line, vocab.NOT_A_COMPANY_LINES)
-        | line.rlike(vocab.TIER_LINE_PATTERN)
+        | is_one_of(line, vocab.TIER_NAMES)
         | low.startswith("partner since")
-        | line.rlike(vocab.RATING_LINE_PATTERN)
-        | line.rlike(vocab.REVIEW_LINE_PATTERN)
+        | is_rating(line)
+        | is_review_count(line)
         | line.contains("@")
         | low.startswith("http")
         | ~F.length(line).between(2, 80)
@@ -100,12 +109,12 @@ def line_kind(line: Column) -> Column:
     """One letter per line: what it tells about a profile."""
     low = F.lower(line)
     return (
-        F.when(line.rlike(vocab.TIER_LINE_PATTERN), "T")
+        F.when(is_one_of(line, vocab.TIER_NAMES), "T")
         .when(low.startswith("partner since"), "S")
         .when((low == "contact") | low.startswith("contact information"), "C")
         .when(low.startswith(vocab.NAVIGATION_PREFIXES[1]), "P")
-        .when(line.rlike(vocab.RATING_LINE_PATTERN), "R")
-        .when(line.rlike(vocab.REVIEW_LINE_PATTERN), "V")
+        .when(is_rating(line), "R")
+        .when(is_review_count(line), "V")
         .when(line == "|", "B")
         .otherwise("-")
     )
@@ -157,11 +166,11 @@ def tier_signals(text: Column, lines: Column) -> Column:
 
     def by_line(at: Column) -> Column:
         def from_ahead(ahead: Column) -> Column:
-            counts = F.filter(ahead, lambda l: l.rlike(vocab.REVIEW_LINE_PATTERN))
+            counts = F.filter(ahead, is_review_count)
             last = F.try_element_at(counts, F.lit(-1))
             return values(
                 F.try_element_at(lines, F.nullif(at, F.lit(0))),
-                first_where(ahead, lambda l: l.rlike(vocab.RATING_LINE_PATTERN)),
+                first_where(ahead, is_rating),
                 F.regexp_extract(last, vocab.REVIEW_LINE_PATTERN, 1),
             )
 
@@ -169,7 +178,7 @@ def tier_signals(text: Column, lines: Column) -> Column:
             values(partner_tier(text), none, none)
         )
 
-    tiered = index_where(head(lines, 20), lambda l: l.rlike(vocab.TIER_LINE_PATTERN))
+    tiered = index_where(head(lines, 20), lambda l: is_one_of(l, vocab.TIER_NAMES))
     return F.when(text.rlike(vocab.TIER_RATING_PATTERN), values(group(1), group(2), group(3))).otherwise(
         let(tiered, by_line)
     )

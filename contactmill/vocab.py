@@ -188,11 +188,10 @@ DATE_PATTERN = (
     r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})\b"
 )
 TIER_NAMES = (
-    "Service partner|Shopify Plus Partner|Plus Partner|Premier Partner|Select Partner|"
-    "Registered Partner"
+    "Service partner", "Shopify Plus Partner", "Plus Partner", "Premier Partner",
+    "Select Partner", "Registered Partner",
 )
-TIER_RATING_PATTERN = rf"(?i)({TIER_NAMES})\s+([\d.]+)\s*\((\d+)\)"
-TIER_LINE_PATTERN = rf"(?i)^({TIER_NAMES})$"
+TIER_RATING_PATTERN = rf"(?i)({'|'.join(TIER_NAMES)})\s+([\d.]+)\s*\((\d+)\)"
 RATING_LINE_PATTERN = r"^\d+(?:\.\d+)?$"
 REVIEW_LINE_PATTERN = r"^\((\d+)\)$"
 PARTNER_SINCE_PATTERN = r"(?iU)\bPartner since\s+([A-Za-z]+\s+\d{4})\b"
