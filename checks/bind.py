@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactmill.session import spread
 from contactmill.sources.tables import Tables, hydrate_json_columns
 
 BASE = (
@@ -190,6 +191,10 @@ class Views:
         )
         return self.spark.sql(safe, **{n: self.base(n) for n in used})
 
+    def texts(self, text: str, key: str = "id") -> DataFrame:
+        """The rows of a SQL text, spread over the cores for text work."""
+        return spread(self.sql(text), key)
+
     @cached_property
     def stored_leads(self) -> DataFrame:
         return self.view("leads")
@@ -203,6 +208,10 @@ class Views:
             return self.view(name)
         raise AttributeError(name)
 
+    @cached_property
+    def raw_texts(self) -> DataFrame:
+        return spread(self.view("raw_sources"), "id")
+
     @cached_property
     def tables(self) -> Tables:
         return Tables(

@@ -71,13 +71,13 @@ def _shown(name: str, c):
 # The phone scan of a page without a phone line finds nothing; a page's id 0 mod 5 has none.
 @query("extract_directory", expected(*EXPECT))
 def _(v):
-    docs = E.default_extractors()["shopify_directory"](v.sql(PAGES).select("id", "page"), "page", "parsed")
+    docs = E.default_extractors()["shopify_directory"](v.texts(PAGES).select("id", "page"), "page", "parsed")
     return docs.select("id", *[_shown(n, F.col(f"parsed.{n}")) for n in EXPECT])
 
 
 def profile(v):
     """Profile lines of each page, built step by step."""
-    docs = v.sql(PAGES).select("id", L.clean_lines(F.col("page")).alias("all"))
+    docs = v.texts(PAGES).select("id", L.clean_lines(F.col("page")).alias("all"))
     docs = docs.withColumns(
         {
             "kinds": F.array_join(F.transform("all", D.line_kind), ""),
@@ -139,7 +139,7 @@ OR (regexp_full_match(l, '{EMAIL}') AND ends_with(lower(l), 'gmail.com')))) AS k
 )
 def _(v):
     kept = F.filter(L.clean_lines(F.col("page")), lambda l: ~D.is_noise(l))
-    return v.sql(PAGES).select("id", kept.alias("k")).select(
+    return v.texts(PAGES).select("id", kept.alias("k")).select(
         "id", F.size("k").cast("long").alias("kept"), L.line_at(F.col("k"), 1).alias("first_line")
     )
 
@@ -159,7 +159,7 @@ RAW = f"(SELECT id, raw_text, {LINES} AS w FROM raw_sources)"
 
 
 def run(v, name: str, *fields: str):
-    docs = E.default_extractors()[name](v.raw_sources.select("id", "raw_text"), "raw_text", "parsed")
+    docs = E.default_extractors()[name](v.raw_texts.select("id", "raw_text"), "raw_text", "parsed")
     return docs.select("id", *[
         (F.array_join(f"parsed.{f}", "|") if f == "services" else F.col(f"parsed.{f}")).alias(f) for f in fields
     ])
@@ -202,7 +202,7 @@ concat('https://www.LinkedIn.com/in/p', p_partkey) AS linkedin_url,
 CASE p_partkey % 4 WHEN 0 THEN 'Firm Z' WHEN 1 THEN 'Firm Y' WHEN 2 THEN p_brand ELSE 'https://linkedin.com/company/x' END AS company_name FROM part""",
 )
 def _(v):
-    docs = E.extract_linkedin_person(v.sql(PROFILES), "raw_text", "parsed")
+    docs = E.extract_linkedin_person(v.texts(PROFILES), "raw_text", "parsed")
     p = F.col("parsed.people")[0]
     return docs.select("id", p["name"].alias("name"), p["title"].alias("title"), p["linkedin_url"].alias("linkedin_url"),
                        F.col("parsed.company_name").alias("company_name"))
@@ -226,7 +226,7 @@ concat('Big-Shop', id % 50) AS company_name, concat('Jane', o_custkey, '@Big-sho
 concat('Jane ', o_custkey, '<Jane', o_custkey, '@Big-shop', id % 50, '.example.com>;me<me@gmail.com>;<desk@x.org>') AS people FROM ({MAILS_SQL}) m""",
 )
 def _(v):
-    docs = E.extract_email_message(v.sql(MAILS).select("id", "raw_text"), "raw_text", "parsed")
+    docs = E.extract_email_message(v.texts(MAILS).select("id", "raw_text"), "raw_text", "parsed")
     people = F.array_join(
         F.transform("parsed.people", lambda p: F.concat(F.coalesce(p["name"], F.lit("")), F.lit("<"), p["email"], F.lit(">"))), ";"
     )
@@ -247,7 +247,7 @@ AND NOT (source_type = 'linkedin_person' AND contains(lower(array_to_string(list
 )
 def _(v):
     # Mails and profiles with an " at " line are compared by their own queries above.
-    docs = E.extract_all(v.raw_sources)
+    docs = E.extract_all(v.raw_texts)
     lines = L.head(L.drop(L.clean_lines(F.col("raw_text")), 2), 6)
     employed = F.exists(lines, lambda l: F.lower(l).contains(" at "))
     return docs.filter((F.col("source_type") != "email") & ~((F.col("source_type") == "linkedin_person") & employed)).select(
@@ -269,7 +269,7 @@ CASE WHEN id % 4 < 2 THEN concat('Big-Shop', id % 50) ELSE concat('Model ', id)
 CASE WHEN id % 4 = 3 THEN 'm@m.example' ELSE concat('Jane', o_custkey, '@Big-shop', id % 50, '.example.com') END AS company_email FROM ({MAILS_SQL}) m""",
 )
 def _(v):
-    docs = E.extract_email_message(v.sql(MODEL), "raw_text", "parsed")
+    docs = E.extract_email_message(v.texts(MODEL), "raw_text", "parsed")
     return E.resolve_extraction(docs).select("id", "extraction_status", "confidence", "parsed.company_name", "parsed.company_email")
 
 
@@ -279,7 +279,7 @@ def _(v):
 ELSE concat('Jane ', o_custkey, '<Jane', o_custkey, '@Big-shop', id % 50, '.example.com>;me<me@gmail.com>;<desk@x.org>') END AS people FROM ({MAILS_SQL}) m""",
 )
 def _(v):
-    docs = E.resolve_extraction(E.extract_email_message(v.sql(MODEL), "raw_text", "parsed"))
+    docs = E.resolve_extraction(E.extract_email_message(v.texts(MODEL), "raw_text", "parsed"))
     people = F.array_join(
         F.transform("parsed.people", lambda p: F.concat(F.coalesce(p["name"], F.lit("")), F.lit("<"), p["email"], F.lit(">"))), ";"
     )

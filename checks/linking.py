@@ -297,7 +297,7 @@ def _(v):
 
 
 def talks(v):
-    docs = extraction.extract_email_message(v.sql(MAILS), "raw_text", "parsed")
+    docs = extraction.extract_email_message(v.texts(MAILS), "raw_text", "parsed")
     return merge.emit_interactions(docs.select(
         F.col("id").alias("record_id"), F.col("o_custkey").alias("lead_id"), F.lit("email").alias("source_type"), "raw_text",
         F.col("o_orderdate").cast("timestamp").alias("arrived"), F.col("parsed.interaction").alias("interaction"),

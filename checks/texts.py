@@ -69,7 +69,7 @@ def on_messy(name: str, column: str, expr: str, fn, cast: str | None = None):
 def on_text(name: str, expr: str, fn):
     @query(name, texts(f"SELECT id, {expr} AS result FROM d"))
     def _(v):
-        return v.sql(TEXTS).select("id", fn(F.col("text")).alias("result"))
+        return v.texts(TEXTS).select("id", fn(F.col("text")).alias("result"))
 
 
 # --- names ---------------------------------------------------------------------------

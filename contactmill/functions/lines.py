@@ -6,27 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactmill import vocab
-from contactmill.functions.text import blank_to_null, strip
+from contactmill.functions.text import blank_to_null, let, strip
 
 EMPTY = "array<string>"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row.
-
-    Catalyst does not share sub-expressions that hold lambdas, so a helper that
-    needs an intermediate result twice binds it through a one-item array.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def no_lines() -> Column:
     return F.array().cast(EMPTY)
 
 
 def clean_line(c: Column) -> Column:
-    trimmed = strip(c)
-    return F.coalesce(blank_to_null(strip(F.ltrim(trimmed, F.lit(vocab.ZERO_WIDTH)))), trimmed)
+    """Trimmed, without leading zero-width characters unless nothing else is left."""
+    def bare(line: Column) -> Column:
+        rest = strip(F.ltrim(line, F.lit(vocab.ZERO_WIDTH)))
+        return let(rest, lambda r: F.when(r != "", r).otherwise(line))
+
+    marked = [ch for ch in vocab.ZERO_WIDTH]
+    return let(
+        strip(c),
+        lambda line: F.when(F.substring(line, 1, 1).isin(*marked), bare(line)).otherwise(line),
+    )
 
 
 def split_lines(text: Column) -> Column:

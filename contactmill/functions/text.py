@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from contactmill import vocab
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Catalyst does not share sub-expressions inside lambdas, so a function that
+    needs an intermediate result twice binds it through a one-item array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(vocab.WHITE_SPACE))
 
@@ -82,11 +91,18 @@ def _has_scheme(c: Column) -> Column:
 
 def extract_domain(c: Column) -> Column:
     """Host part as written (port and user info stay), lower case, no ``www.``."""
-    site = strip(c)
-    url = F.when(_has_scheme(site), site).otherwise(F.concat(F.lit("https://"), site))
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, "^https?://([^/?#]*)", 1)), r"^www\.", "")
-    well_formed = ~host.rlike(r"[\[\]]") | host.rlike(r"^([^\[\]]*@)?\[[0-9a-f:.]+\](:\d*)?$")
-    return F.when((site != "") & well_formed, blank_to_null(host))
+    def checked(host: Column) -> Column:
+        ipv6 = host.rlike(r"^([^\[\]]*@)?\[[0-9a-f:.]+\](:\d*)?$")
+        bracketed = host.contains("[") | host.contains("]")
+        return F.when((host != "") & (~bracketed | ipv6), host)
+
+    def of_site(site: Column) -> Column:
+        url = F.when(_has_scheme(site), site).otherwise(F.concat(F.lit("https://"), site))
+        host = F.regexp_extract(url, "^https?://([^/?#]*)", 1)
+        plain = F.regexp_replace(F.lower(host), r"^www\.", "")
+        return F.when(site != "", let(plain, checked))
+
+    return let(strip(c), of_site)
 
 
 def is_company_site(c: Column) -> Column:
@@ -94,13 +110,16 @@ def is_company_site(c: Column) -> Column:
 
 
 def normalize_website(c: Column) -> Column:
-    site = F.rtrim(strip(c), F.lit(".,)"))
-    usable = (site != "") & is_company_site(site)
-    bare_ok = ~site.contains("@") & ~site.contains(" ")
-    return (
-        F.when(usable & _has_scheme(site), F.coalesce(extract_domain(site), site))
-        .when(usable & bare_ok, F.coalesce(extract_domain(site), F.lower(site)))
-    )
+    """The site's domain; NULL for blanks, platform and profile sites, addresses and phrases."""
+    def of_site(site: Column) -> Column:
+        linked = _has_scheme(site)
+        phrase = site.contains("@") | site.contains(" ")
+        return F.when(
+            (site != "") & is_company_site(site) & (linked | ~phrase),
+            F.coalesce(extract_domain(site), F.when(linked, site).otherwise(F.lower(site))),
+        )
+
+    return let(F.rtrim(strip(c), F.lit(".,)")), of_site)
 
 
 def extract_urls(c: Column) -> Column:
@@ -130,11 +149,18 @@ def is_directory_url(url: Column) -> Column:
 
 # --- mail, phone, profiles --------------------------------------------------
 def normalize_email(c: Column) -> Column:
-    text = strip(c)
-    inner = blank_to_null(F.regexp_extract(text, "<([^>]+@[^>]+)>", 1))
-    plain = F.regexp_replace(F.coalesce(inner, text), r"\[([^\]]+)\]\([^)]+\)", "$1")
-    mail = F.lower(strip(plain))
-    return F.when(mail.contains("@"), mail)
+    """Lower-case address out of ``Name <a@b>`` or a markdown link; NULL without ``@``."""
+    def unwrapped(text: Column) -> Column:
+        inner = F.regexp_extract(text, "<([^>]+@[^>]+)>", 1)
+        chosen = let(inner, lambda i: F.when(i != "", i).otherwise(text))
+        return strip(F.regexp_replace(chosen, r"\[([^\]]+)\]\([^)]+\)", "$1"))
+
+    def of_text(text: Column) -> Column:
+        wrapped = text.contains("<") | text.contains("[")
+        mail = F.lower(F.when(wrapped, unwrapped(text)).otherwise(text))
+        return let(mail, lambda m: F.when(m.contains("@"), m))
+
+    return let(strip(c), of_text)
 
 
 def email_domain(c: Column) -> Column:
@@ -142,16 +168,21 @@ def email_domain(c: Column) -> Column:
 
 
 def is_business_email(c: Column) -> Column:
-    domain = email_domain(c)
-    return F.coalesce(
-        (domain != "") & ~domain.isin(*vocab.PERSONAL_EMAIL_DOMAINS), F.lit(False)
-    )
+    personal = ("", *vocab.PERSONAL_EMAIL_DOMAINS)
+    return F.coalesce(~email_domain(c).isin(*personal), F.lit(False))
 
 
 def email_value(token: Column) -> Column:
     """The address inside a markdown mail link, else the trimmed token."""
-    inner = F.regexp_extract(strip(token), vocab.MAILTO_PATTERN.replace("(?i)", "(?i)^", 1), 1)
-    return F.coalesce(blank_to_null(inner), strip(token))
+    linked = vocab.MAILTO_PATTERN.replace("(?i)", "(?i)^", 1)
+
+    def of_text(text: Column) -> Column:
+        inner = F.regexp_extract(text, linked, 1)
+        return F.when(
+            text.startswith("["), let(inner, lambda i: F.when(i != "", i).otherwise(text))
+        ).otherwise(text)
+
+    return let(strip(token), of_text)
 
 
 def email_tokens(c: Column) -> Column:

@@ -15,7 +15,6 @@ from contactmill.functions.lines import (
     head,
     index_where,
     is_one_of,
-    let,
     line_at,
     list_section,
     no_lines,
@@ -32,6 +31,7 @@ from contactmill.functions.text import (
     extract_phone,
     extract_urls,
     is_host_mail,
+    let,
     normalize_website,
 )
 from contactmill.operators.extraction import _cleanup, partner_tier, record

@@ -19,7 +19,6 @@ from contactmill.functions.lines import (
     drop,
     first_where,
     head,
-    let,
     line_at,
 )
 from contactmill.functions.text import (
@@ -35,6 +34,7 @@ from contactmill.functions.text import (
     is_business_email,
     json_object_text,
     keyword_hits,
+    let,
     normalize_email,
     strip,
     url_param_tier,
@@ -203,7 +203,8 @@ def header_people(text: Column) -> Column:
     headers = F.filter(head(F.split(text, vocab.LINE_BREAK), 40), lambda l: l.rlike(starts))
 
     def bare(name: Column) -> Column:
-        return blank_to_null(F.trim(F.trim(strip(name), F.lit('"')), F.lit("'")))
+        unquoted = F.trim(F.trim(strip(name), F.lit('"')), F.lit("'"))
+        return let(unquoted, lambda n: F.when(n != "", n))
 
     def parse(rest: Column) -> Column:
         inner = blank_to_null(F.regexp_extract(rest, "<([^>]+@[^>]+)>", 1))

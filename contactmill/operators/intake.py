@@ -24,7 +24,7 @@ from contactmill.operators.merge import (
     write_fit_scores,
 )
 from contactmill.operators.numbering import number_rows
-from contactmill.session import cut_lineage
+from contactmill.session import cut_lineage, spread
 from contactmill.sources.tables import Tables
 
 
@@ -32,7 +32,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
     """Raw rows (``id, source_type, source_url, raw_text, attach_lead_id, created_at`` and
     optionally ``model_output``) to records with parsed fields as columns."""
     docs = raw if "model_output" in raw.columns else raw.withColumn("model_output", F.lit(None).cast("string"))
-    parsed = resolve_extraction(extract_all(docs))
+    parsed = resolve_extraction(extract_all(spread(docs, "id")))
     is_mail = F.col("source_type") == "email"
     fields = [F.col(f"parsed.{n}").alias(n) for n in FIELDS if n != "confidence"]
     return parsed.select(
