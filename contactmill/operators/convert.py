@@ -159,7 +159,9 @@ def _new_sources(raw: DataFrame, existing: DataFrame | None) -> DataFrame:
 def to_sources(raw: DataFrame, leads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Sources with their hash; a source may stay without an organization."""
     keys = leads.select(F.col("id").alias("_org_lead"))
-    linked = _new_sources(raw, existing).join(keys, F.col("lead_id") == F.col("_org_lead"), "left")
+    # Unlinked sources get distinct keys that match nothing instead of one NULL key.
+    owner = F.coalesce("lead_id", -F.col("id") - 1)
+    linked = _new_sources(raw, existing).join(keys, owner == F.col("_org_lead"), "left")
     return linked.select(
         stable_uuid("source", F.col("id")).alias("id"),
         organization_id(F.col("_org_lead")).alias("organization_id"),

@@ -71,7 +71,9 @@ def run_intake(raw: DataFrame, t: Tables) -> Tables:
     """The tables after a batch of validated raw sources. Nothing is ever dropped:
     sources without a lead stay in the evidence table."""
     records = cut_lineage(parse_records(raw))
-    resolved = cut_lineage(resolved_records(records, t.leads))
+    # The wide texts stay in the written table; linkage and merging read the other columns.
+    narrow = records.drop("raw_text", "parsed_json")
+    resolved = cut_lineage(resolved_records(narrow, t.leads))
     leads = cut_lineage(merge_leads(t.leads, lead_changes(resolved)))
 
     persons = resolved.filter(F.col("lead_id").isNotNull()).select(
@@ -83,7 +85,9 @@ def run_intake(raw: DataFrame, t: Tables) -> Tables:
     ).filter((F.coalesce("name", F.lit("")) != "") | (F.coalesce("email", F.lit("")) != ""))
     people = cut_lineage(merge_people(t.people, persons))
 
-    talks = emit_interactions(resolved)
+    texts = records.select(F.col("record_id").alias("_text_of"), "raw_text")
+    talking = resolved.filter(F.col("interaction").isNotNull())
+    talks = emit_interactions(talking.join(texts, F.col("record_id") == F.col("_text_of")))
     top = t.interactions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     talks = cut_lineage(number_rows(talks, ["created_at", "raw_source_id"], "_no").withColumn("id", F.col("_no") + top).drop("_no"))
     todo = emit_tasks(talks.withColumn("_talk", F.col("id")))
@@ -95,7 +99,8 @@ def run_intake(raw: DataFrame, t: Tables) -> Tables:
     changed = leads.join(touched, F.col("id") == F.col("_lead"), "left_semi")
     scored = write_fit_scores(leads, fit_score(changed, people), F.col("updated_at"))
 
-    evidence = resolved.select(
+    owners = resolved.select(F.col("record_id").alias("_rec"), "lead_id")
+    evidence = records.join(owners, F.col("record_id") == F.col("_rec"), "left").select(
         F.col("record_id").alias("id"), "lead_id", "source_type", "source_url", "source_filter_tier",
         "raw_text", "parsed_json", "extraction_status", "confidence", F.col("arrived").alias("created_at"),
     )

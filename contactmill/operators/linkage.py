@@ -37,11 +37,20 @@ NAMELESS_CREATES = ("shopify_directory", "linkedin_company", "website", "note")
 
 
 # --- look-ups ----------------------------------------------------------------
+def never_null(key: Column, row_id: Column) -> Column:
+    """A text join key where missing values become distinct keys that match nothing.
+
+    In an outer join all NULL keys would meet in one task.
+    """
+    return F.coalesce(key, F.concat(F.lit("\u0000"), row_id))
+
+
 def _count_matches(records: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Lowest lead and number of distinct leads that share any of the keys.
 
     The size of the union comes from the counts per key combination
-    (inclusion-exclusion), so no record-lead pair is ever built.
+    (inclusion-exclusion; ``held`` has one row per lead and key set), so no
+    record-lead pair is ever built.
     """
     total, lows = F.lit(0), []
     out = records
@@ -52,9 +61,12 @@ def _count_matches(records: DataFrame, held: DataFrame, keys: list[str]) -> Data
             lookup = (
                 held.filter(full)
                 .groupBy(*[F.col(k).alias(f"_k_{k}") for k in combo])
-                .agg(F.count_distinct("lead").alias(f"_n_{tag}"), F.min("lead").alias(f"_m_{tag}"))
+                .agg(F.count("*").alias(f"_n_{tag}"), F.min("lead").alias(f"_m_{tag}"))
+            )
+            test = reduce(
+                lambda a, b: a & b,
+                [never_null(F.col(k), F.col("record_id")) == F.col(f"_k_{k}") for k in combo],
             )
-            test = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in combo])
             out = out.join(lookup, test, "left").drop(*[f"_k_{k}" for k in combo])
             sign = 1 if size % 2 else -1
             total = total + F.coalesce(f"_n_{tag}", F.lit(0)) * sign
@@ -97,8 +109,11 @@ def match_leads(records: DataFrame, leads: DataFrame, people: DataFrame | None =
             full = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in combo])
             lookup = on_page.filter(full).groupBy(
                 *[F.col(k).alias(f"_k_{k}") for k in combo]
-            ).agg(F.count_distinct("lead").alias(tag), F.min("lead").alias(f"m_{tag}"))
-            test = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in combo])
+            ).agg(F.count("*").alias(tag), F.min("lead").alias(f"m_{tag}"))
+            test = reduce(
+                lambda a, b: a & b,
+                [never_null(F.col(k), F.col("record_id")) == F.col(f"_k_{k}") for k in combo],
+            )
             found = found.join(lookup, test, "left").drop(*[f"_k_{k}" for k in combo])
         none = F.lit(0)
         extra = (
@@ -566,7 +581,9 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
     fresh = number_rows(creators, ["creator"], "_no").select(
         F.col("creator").alias("_creator"), (F.col("_no") + top).alias("_new")
     )
-    return linked.join(fresh, F.col("creator") == F.col("_creator"), "left").select(
+    # Records of stored leads get distinct keys that match nothing, so they spread out.
+    seat = F.coalesce("creator", -F.col("record_id") - 1)
+    return linked.join(fresh, seat == F.col("_creator"), "left").select(
         "record_id",
         F.coalesce("old_lead", "_new").alias("lead_id"),
         F.col("_new").isNotNull().alias("is_new"),

@@ -20,20 +20,24 @@ def validate_intake(
     ``attach_to_lead_id`` is text as typed by a user.
     """
     attach = strip(F.coalesce("attach_to_lead_id", F.lit("")))
-    number = F.when(attach.rlike(r"^\p{Nd}+$"), attach.try_cast("long"))
     text = strip(F.coalesce("raw_text", F.lit("")))
     url = strip(F.coalesce("source_url", F.lit("")))
-    keys = leads.select(F.col("id").alias("_lead"))
-    checked = raw.withColumn("_attach", number).join(keys, F.col("_attach") == F.col("_lead"), "left")
     code = (
         F.when(~F.coalesce(strip(F.col("source_type")), F.lit("")).isin(*vocab.SOURCE_TYPES), "invalid_source_type")
         .when(text == "", "empty_raw_text")
         .when(F.length(text) > max_chars, "raw_text_too_long")
         .when((url != "") & ~url.rlike(r"^(?i:https?)://[^/?#]+"), "invalid_source_url")
         .when((attach != "") & ~attach.rlike(r"^\p{Nd}+$"), "invalid_attach_lead_id")
-        .when((attach != "") & F.col("_lead").isNull(), "lead_not_found")
     )
-    return checked.withColumn("error_code", code).drop("_attach", "_lead")
+    checked = raw.withColumn("error_code", code)
+    # Only rows that name a lead and passed so far need the look-up; the others are not shuffled.
+    asks = F.col("error_code").isNull() & (attach != "")
+    keys = leads.select(F.col("id").alias("_lead"))
+    asked = checked.filter(asks).join(keys, attach.try_cast("long") == F.col("_lead"), "left")
+    found = asked.withColumn(
+        "error_code", F.when(F.col("_lead").isNull(), "lead_not_found")
+    ).drop("_lead")
+    return checked.filter(~asks).unionByName(found)
 
 
 def split_intake(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
