@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.texts import BREAK, EMAIL, st
+from checks.texts import BREAK, EMAIL, MAILTO, st
 from contactmill.functions import lines as L
 from contactmill.operators import directory as D
 from contactmill.operators import extraction as E
@@ -236,23 +236,28 @@ def _(v):
     )
 
 
+AT = "list_filter(list_slice(w, 3, 8), lambda l: contains(lower(l), ' at '))[1]"
+PERSONAL = "'gmail.com','googlemail.com','yahoo.com','hotmail.com','outlook.com','live.com','icloud.com','protonmail.com','aol.com'"
+HOSTS = f"""list_filter(list_transform(list_concat(regexp_extract_all(raw_text, '{MAILTO}', 1), regexp_extract_all(raw_text, '{EMAIL}')),
+lambda m: lower(list_last(str_split(m, '@')))), lambda d: d NOT IN ({PERSONAL}))[1]"""
+LABEL = f"str_split({HOSTS}, '.')[1]"
+
+
 @query(
     "extract_all",
-    f"""SELECT id, CASE source_type WHEN 'website' THEN {NAME} WHEN 'linkedin_company' THEN {NAME} WHEN 'linkedin_person' THEN w[3] END AS company_name,
+    f"""SELECT id, CASE source_type WHEN 'website' THEN {NAME} WHEN 'linkedin_company' THEN {NAME}
+  WHEN 'linkedin_person' THEN coalesce(nullif({st("list_last(str_split(" + AT + ", ' at '))")}, ''), w[3])
+  WHEN 'email' THEN concat(upper({LABEL}[1]), {LABEL}[2:]) END AS company_name,
 CASE WHEN source_type IN ('note', 'website', 'fax') THEN {FIRST} WHEN source_type = 'linkedin_company' THEN
   rtrim(list_filter(regexp_extract_all(raw_text, '{URL}'), lambda u: NOT contains(lower(u), 'linkedin.com'))[1], '.,)') END AS website,
-CASE source_type WHEN 'website' THEN 0.4::DOUBLE WHEN 'linkedin_company' THEN 0.45::DOUBLE WHEN 'linkedin_person' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence
-FROM (SELECT id, source_type, raw_text, {LINES} AS w FROM raw_sources) WHERE source_type <> 'email'
-AND NOT (source_type = 'linkedin_person' AND contains(lower(array_to_string(list_slice(w, 3, 8), chr(10))), ' at '))""",
+CASE source_type WHEN 'website' THEN 0.4::DOUBLE WHEN 'linkedin_company' THEN 0.45::DOUBLE WHEN 'linkedin_person' THEN 0.5::DOUBLE
+  WHEN 'email' THEN 0.55::DOUBLE ELSE 0.3::DOUBLE END AS confidence
+FROM (SELECT id, source_type, raw_text, {LINES} AS w FROM raw_sources)""".replace(
+        "concat(upper(", f"CASE WHEN {HOSTS} IS NOT NULL THEN concat(upper(").replace("[2:]) END AS company_name", "[2:]) END END AS company_name"),
 )
 def _(v):
-    # Mails and profiles with an " at " line are compared by their own queries above.
     docs = E.extract_all(v.raw_texts)
-    lines = L.head(L.drop(L.clean_lines(F.col("raw_text")), 2), 6)
-    employed = F.exists(lines, lambda l: F.lower(l).contains(" at "))
-    return docs.filter((F.col("source_type") != "email") & ~((F.col("source_type") == "linkedin_person") & employed)).select(
-        "id", "parsed.company_name", "parsed.website", "parsed.confidence"
-    )
+    return docs.select("id", "parsed.company_name", "parsed.website", "parsed.confidence")
 
 
 MODEL = """

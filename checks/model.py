@@ -10,7 +10,9 @@ from checks.registry import query
 from contactmill.operators import audit, convert
 from contactmill.session import shared_dir
 from contactmill.sources import files
+from contactmill.sources.tables import SCHEMAS, Tables, read_tables, struct_of, write_tables
 from contactmill.streaming import commands
+from contactmill.streaming.intake import stream_intake
 
 
 # --- conversion ------------------------------------------------------------------------
@@ -425,3 +427,30 @@ def _(v):
             v.spark.conf.set(key, before)
 
 
+
+
+@query("write_email_log", "SELECT 'in.txt' AS source_file, count(*) AS n FROM orders")
+def _(v):
+    path = new_folder(v)
+    mails = v.sql("SELECT concat('Order ', o_orderkey) AS subject FROM {orders}")
+    files.write_email_log(mails, path, "in.txt", "2024-01-01T00:00:00Z")
+    return files.read_email_log(v.spark, path).groupBy("source_file").agg(F.count("*").alias("n"))
+
+
+INBOX = """
+SELECT s_suppkey AS id, 'linkedin_company' AS source_type, CAST(NULL AS STRING) AS source_url, concat(s_name, chr(10), 'https://s', s_suppkey, '.example.com') AS raw_text,
+  CAST(NULL AS BIGINT) AS attach_lead_id, CAST(DATE '2024-01-01' + CAST(s_suppkey % 50 AS INT) AS TIMESTAMP) AS created_at FROM {supplier}"""
+
+
+@query(
+    "stream_intake",
+    """SELECT row_number() OVER (ORDER BY s_suppkey % 50, s_suppkey) AS id, s_name AS company_name, concat('s', s_suppkey, '.example.com') AS domain, 'new' AS status FROM supplier""",
+)
+def _(v):
+    root, inbox = new_folder(v), new_folder(v)
+    empty = {n: v.spark.createDataFrame([], struct_of(ddl)) for n, ddl in SCHEMAS.items()}
+    write_tables(Tables(**empty), f"{root}/v0")
+    v.sql(INBOX).write.parquet(inbox)
+    raw = v.spark.readStream.schema(v.sql(INBOX).schema).parquet(inbox)
+    stream_intake(raw, root).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return read_tables(v.spark, f"{root}/v1").leads.select("id", "company_name", "domain", "status")

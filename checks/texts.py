@@ -185,13 +185,11 @@ on_text(
         "email marketing", "catalog", "product management", "ongoing support", "managed services")), "|"),
 )
 on_text("truncate", "substr(text, 1, 300)", lambda c: F.substring(c, 1, 300))
+PARTS = f"list_filter(flatten(list_transform({LINES}, lambda l: list_transform(str_split(l, ','), lambda p: {st('p')}))), lambda p: p <> '')"
 on_text(
     "split_comma_items",
-    "CASE WHEN id % 8 = 2 THEN 'Industries: Retail|Food|Beauty|Toys' END",
-    lambda c: F.when(
-        F.col("id") % 8 == 2,
-        F.array_join(L.split_comma_items(L.drop(L.clean_lines(c), F.size(L.clean_lines(c)) - 4), ("about",)), "|"),
-    ),
+    f"array_to_string(list_slice({PARTS}, 1, coalesce(nullif(list_position(list_transform({PARTS}, lambda p: lower(p)), 'about'), 0) - 1, len({PARTS}))), '|')",
+    lambda c: F.array_join(L.split_comma_items(L.clean_lines(c), ("About",)), "|"),
 )
 on_text(
     "section_after",
