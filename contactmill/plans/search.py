@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,29 +132,45 @@ def _ranked(scored: DataFrame) -> list[Column]:
     ]
 
 
-def _term_score(blob: Column, terms: Column) -> Column:
-    weight = lambda t: F.when(t.contains(" "), 3).otherwise(1)
-    return F.aggregate(
-        terms, F.lit(0), lambda acc, t: acc + F.when(blob.contains(t), weight(t)).otherwise(0)
-    )
+def query_terms(text: str) -> list[str]:
+    """``search_terms`` of one question, for questions that are arguments of the call."""
+    plain = _plain(text)
+    phrases = [p for p in vocab.SEARCH_PHRASES if p in plain]
+    words = [
+        w for w in re.findall(vocab.SEARCH_WORD_PATTERN, plain)
+        if len(w) >= 3 and w not in vocab.STOP_WORDS
+    ]
+    return phrases + words[:8]
+
+
+def _score(terms: list[str], values: list[str]) -> Column:
+    """Three points per phrase, one per word, four per filter value found in the text."""
+    blob, total = F.col("_blob"), F.lit(0)
+    for term in terms:
+        total = total + F.when(blob.contains(term), 3 if " " in term else 1).otherwise(0)
+    for value in values:
+        total = total + F.when(blob.contains(value), 4).otherwise(0)
+    return total
 
 
 def search_leads_ranked(
     t: Tables, query: str, filters: dict | None = None, limit: int = 10
 ) -> DataFrame:
-    """Best matches for one question: one pass over leads, then a distributed top-k."""
+    """Best matches for one question: one pass over leads, then a distributed top-k.
+
+    Scores are generated as a one-item list and filtered inside it, so the
+    lead's text is built once and not again for the filter.
+    """
     filters = filters or {}
     needs_people = any(filters.get(k) is not None for k in ("has_contacts", "has_decision_maker"))
     leads = leads_with_rollup(t) if needs_people else t.leads
-    values = _filter_values(filters)
+    terms = query_terms(query)
     kept = leads.filter(passes_filters(filters)).withColumn("_blob", search_blob())
-    score = _term_score(F.col("_blob"), F.col("_terms"))
-    for v in values:
-        score = score + F.when(F.col("_blob").contains(v), 4).otherwise(0)
-    scored = kept.withColumn("_terms", search_terms(F.lit(query))).withColumn("score", score)
-    if not filters:
-        scored = scored.filter((F.size("_terms") == 0) | (F.col("score") > 0))
-    return scored.orderBy(*_ranked(scored)).limit(limit).drop("_blob", "_terms")
+    scored = F.array(F.struct(_score(terms, _filter_values(filters)).alias("score")))
+    if terms and not filters:
+        scored = F.filter(scored, lambda s: s["score"] > 0)
+    rows = kept.select("*", F.inline(scored))
+    return rows.orderBy(*_ranked(rows)).limit(limit).drop("_blob")
 
 
 def search_leads_many(t: Tables, queries: list[str], limit: int = 10) -> DataFrame:
@@ -163,23 +180,20 @@ def search_leads_many(t: Tables, queries: list[str], limit: int = 10) -> DataFra
     lead is emitted only for questions it scores on, and the rank filter cuts
     to ``limit`` rows per question before the shuffle.
     """
-    table = F.array(*[
-        F.struct(F.lit(i).alias("query_id"), search_terms(F.lit(q)).alias("terms"))
-        for i, q in enumerate(queries)
+    wanted = [query_terms(q) for q in queries]
+    hits = F.array(*[
+        F.struct(
+            F.lit(i).alias("query_id"),
+            F.lit(not terms).alias("open"),
+            _score(terms, []).alias("score"),
+        )
+        for i, terms in enumerate(wanted)
     ])
     blobs = t.leads.select("id", "company_name", "fit_score", search_blob().alias("_blob"))
-    hits = F.filter(
-        F.transform(
-            table,
-            lambda q: F.struct(
-                q["query_id"].alias("query_id"),
-                F.size(q["terms"]).alias("n_terms"),
-                _term_score(F.col("_blob"), q["terms"]).alias("score"),
-            ),
-        ),
-        lambda h: (h["n_terms"] == 0) | (h["score"] > 0),
+    rows = blobs.select(
+        "id", "company_name", "fit_score",
+        F.inline(F.filter(hits, lambda h: h["open"] | (h["score"] > 0))),
     )
-    rows = blobs.select("id", "company_name", "fit_score", F.inline(hits))
     order = Window.partitionBy("query_id").orderBy(*_ranked(rows))
     return (
         rows.withColumn("place", F.row_number().over(order))

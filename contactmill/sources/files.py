@@ -13,7 +13,7 @@ from contactmill.sources.tables import Tables
 CONTACT = "name string, email string, role string, company string, linkedin string, notes string"
 COMPANY = (
     "name string, website string, country string, industry string, fit_score int, "
-    "fit_reason string, commercegov_signals array<string>, risks_or_objections array<string>, "
+    "fit_reason string, risks_or_objections array<string>, "
     "recommended_next_action string, priority string"
 )
 EMAIL = (
@@ -99,7 +99,10 @@ def read_email_log(spark: SparkSession, path: str) -> DataFrame:
 
 # --- model output ---------------------------------------------------------------
 def explode_model_output(docs: DataFrame, text: str = "value", source: str = "source_file") -> dict[str, DataFrame]:
-    """One JSON answer per row to four tables; non-lists are empty, non-objects dropped."""
+    """One JSON answer per row to four tables; non-lists are empty, non-objects dropped.
+
+    Each row keeps its object in ``item_json``, with any further keys.
+    """
     answers = docs.select(source, json_object_text(F.col(text)).alias("_doc"))
     out = {}
     for name, shape in OUTPUT_SECTIONS.items():
@@ -107,8 +110,8 @@ def explode_model_output(docs: DataFrame, text: str = "value", source: str = "so
         rows = answers.select(source, F.posexplode(items).alias("item_no", "_item"))
         out[name] = (
             rows.filter(strip(F.col("_item")).startswith("{"))
-            .select(source, "item_no", F.from_json("_item", shape).alias("i"))
-            .select(source, "item_no", "i.*")
+            .select(source, "item_no", "_item", F.from_json("_item", shape).alias("i"))
+            .select(source, "item_no", F.col("_item").alias("item_json"), "i.*")
         )
     return out
 

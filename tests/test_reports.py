@@ -87,5 +87,6 @@ def test_plans_push_down_and_avoid_nested_loops(spark):
 def test_search_terms_and_blank_query(spark, seeded):
     terms = spark.range(1).select(search.search_terms(F.lit("Find Shopify Plus agencies with CRO, please"))).first()[0]
     assert terms == ["shopify plus", "shopify", "plus", "cro", "please"]
+    assert search.query_terms("Find Shopify Plus agencies with CRO, please") == terms
     assert search.search_leads_ranked(seeded, "", limit=2).count() == 2
     assert search.search_leads_ranked(seeded, "zzzz").count() == 0
