@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe
+from contactmill.llm import bpe, repeats
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op1_bpe_codec(spark, sf_dir):
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("raw_text", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    return repeats.quality_rules(raw_sources(spark, sf_dir)).withColumnRenamed("id", "doc_id")
