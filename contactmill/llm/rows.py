@@ -33,6 +33,33 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def stream_rows(df: DataFrame, transform: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Apply ``transform`` to the rows of every partition, in their order, as one stream of tuples."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), target)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in transform(_tuples(batches)):
+            held.append(row)
+            size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+            if len(held) >= SLICE_ROWS or size > 1 << 20:
+                yield batch_of(held)
+                held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    return df.mapInArrow(run, schema)
+
+
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns])
+
+
 class RecentCache:
     """A dictionary of bounded size: two generations, the older one dropped when the newer is full."""
 
