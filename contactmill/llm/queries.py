@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe, dialogues, repeats
+from contactmill.llm import bpe, dialogues, pages, repeats
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,14 @@ def op10_chat_windows(spark, sf_dir):
 
 # Every turn once, in order; what the windows repeat shows only in formatted_chars,
 # which depends on the windows and has no SQL.
+
+
+@query
+def op6_main_text(spark, sf_dir):
+    stored = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.col("page_id").alias("id"), F.col("url").alias("source_url"), F.col("html").alias("raw_text")
+    )
+    text = pages.extract_main_text(stored)
+    return text.select(
+        F.col("id").alias("page_id"), F.col("source_url").alias("url"), "text", F.length("text").cast("long").alias("n_chars")
+    )
