@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe, dialogues, pages, repeats
+from contactmill.llm import bpe, dialogues, languages, pages, repeats
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,17 @@ def op6_main_text(spark, sf_dir):
     return text.select(
         F.col("id").alias("page_id"), F.col("source_url").alias("url"), "text", F.length("text").cast("long").alias("n_chars")
     )
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    examples = docs.where(~held_out()).select(F.col("text").alias("raw_text"), F.col("lang").alias("language"))
+    found = languages.identify_language(raw_sources(spark, sf_dir), examples)
+    return found.select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), F.col("language").alias("lang_pred"), "score"
+    )
