@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe, dialogues, languages, pages, repeats
+from contactmill.llm import bpe, dialogues, languages, pages, repeats, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,18 @@ def op4_language_id(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), held_out("id").alias("held_out"), F.col("language").alias("lang_pred"), "score"
     )
+
+
+def toxic_examples(spark, sf_dir):
+    """``raw_text, toxic`` of the labelled documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
+    told = raw_sources(spark, sf_dir).where(~held_out("id"))
+    return told.join(labels.where("toxic IS NOT NULL"), "id").select("raw_text", "toxic")
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    found = toxicity.score_toxicity(raw_sources(spark, sf_dir), toxic_examples(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", F.col("toxic").alias("predicted")
+    )
