@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe, dialogues, languages, pages, repeats, toxicity
+from contactmill.llm import bpe, dialogues, languages, pages, repeats, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,10 @@ def op3_toxicity(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", F.col("toxic").alias("predicted")
     )
+
+
+@query
+def op8_near_vectors(spark, sf_dir):
+    stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = vectors.near_vectors(stored.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return found.withColumnRenamed("id", "vec_id")
