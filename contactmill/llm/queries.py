@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe, dialogues, languages, pages, repeats, toxicity, vectors
+from contactmill.llm import bpe, dialogues, languages, packing, pages, repeats, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,16 +87,15 @@ def op4_language_id(spark, sf_dir):
     )
 
 
-def toxic_examples(spark, sf_dir):
-    """``raw_text, toxic`` of the labelled documents that are not held out."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
-    told = raw_sources(spark, sf_dir).where(~held_out("id"))
-    return told.join(labels.where("toxic IS NOT NULL"), "id").select("raw_text", "toxic")
+def toxic_labels(spark, sf_dir):
+    """``id, toxic`` of the labelled documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    return labels.select(F.col("doc_id").alias("id"), "toxic")
 
 
 @query
 def op3_toxicity(spark, sf_dir):
-    found = toxicity.score_toxicity(raw_sources(spark, sf_dir), toxic_examples(spark, sf_dir))
+    found = toxicity.score_toxicity(raw_sources(spark, sf_dir), toxic_labels(spark, sf_dir))
     return found.select(
         F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", F.col("toxic").alias("predicted")
     )
@@ -107,3 +106,11 @@ def op8_near_vectors(spark, sf_dir):
     stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     found = vectors.near_vectors(stored.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op5_packing(spark, sf_dir):
+    pieces = packing.pack_sources(raw_sources(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
