@@ -145,13 +145,13 @@ def stems_of(text: str | None) -> Iterator[tuple[str, str]]:
 
 
 def fit_toxicity(
-    examples: DataFrame, max_toxic: int = 4_000, max_clean: int = 16_000, max_candidates: int = 20_000,
-    min_contexts: int = 5, min_ratio: float = 30.0,
+    raw_sources: DataFrame, labels: DataFrame, max_toxic: int = 1_500, max_clean: int = 10_000,
+    max_candidates: int = 20_000, min_contexts: int = 5, min_ratio: float = 30.0,
 ) -> ToxicityModel:
-    """Learn insults from ``raw_text, toxic`` rows (1 or 0; others teach nothing).
+    """Learn insults from the raw sources that ``labels`` (``id, toxic``: 1 or 0; others teach nothing) names.
 
-    About ``max_toxic`` toxic and ``max_clean`` clean examples are used, chosen by a hash
-    of the text. A candidate is a word or a stem that occurs in at least
+    At most ``max_toxic`` toxic and ``max_clean`` clean labels are used, chosen by a hash
+    of the id, so only that many ids are sent to the texts. A candidate is a word or a stem that occurs in at least
     ``min_contexts`` different neighbourhoods in toxic texts, and in about as many
     neighbourhoods as texts (a word that only copies of one text share has few).
     It is an insult if toxic texts have it ``min_ratio`` times as
@@ -159,14 +159,15 @@ def fit_toxicity(
     most frequent candidates are tried, which bounds what reaches the driver.
     Without toxic examples nothing is learned.
     """
-    known = examples.select("raw_text", F.col("toxic").cast("int").alias("toxic")).where("raw_text IS NOT NULL AND toxic IN (0, 1)")
+    known = labels.select("id", F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
+    texts = raw_sources.select("id", "raw_text")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = math.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 2))
     prior = min(prior, -1.0)
 
     def part(label: int, most: int) -> DataFrame:
-        share = min(1.0, most / max(1, sizes.get(label, 0)))
-        return known.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("raw_text"), F.lit(1 << 20)) < int((1 << 20) * share))).select("raw_text")
+        chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(most).select("id").distinct()
+        return texts.join(F.broadcast(chosen), "id").select("raw_text")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, near = defaultdict(int), defaultdict(set)
@@ -222,15 +223,15 @@ def fit_toxicity(
     return ToxicityModel(stems, words, prior)
 
 
-def score_toxicity(raw_sources: DataFrame, examples: DataFrame, **fit) -> DataFrame:
+def score_toxicity(raw_sources: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """Toxicity of every raw source: ``id, score, toxic``, one row per row of ``id, raw_text``.
 
-    ``examples`` (``raw_text, toxic``) and ``fit`` go to ``fit_toxicity``. Whole texts
+    ``labels`` (``id, toxic``) and ``fit`` go to ``fit_toxicity``, which learns from these sources. Whole texts
     are read. ``score`` (0 to 1) is the chance that a label would be 1;
     ``toxic`` is 1 if it is at least 0.5. A null or empty text has the score of a
     text without evidence; repeated rows give repeated rows; other columns are ignored.
     """
-    shared = raw_sources.sparkSession.sparkContext.broadcast(fit_toxicity(examples, **fit))
+    shared = raw_sources.sparkSession.sparkContext.broadcast(fit_toxicity(raw_sources, labels, **fit))
 
     def scored():
         model = shared.value
