@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe, dialogues, languages, packing, pages, repeats, toxicity, vectors
+from contactmill.llm import bpe, dialogues, languages, packing, pages, repeats, similar, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op5_packing(spark, sf_dir):
     return pieces.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op7_similar_texts(spark, sf_dir):
+    return similar.similar_sources(raw_sources(spark, sf_dir)).withColumnRenamed("id", "doc_id")
