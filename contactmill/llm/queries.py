@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.llm import bpe, dialogues, languages, packing, pages, repeats, similar, toxicity, vectors
+from contactmill.llm import bpe, dialogues, languages, packing, pages, private, repeats, similar, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,15 @@ def op5_packing(spark, sf_dir):
 @query
 def op7_similar_texts(spark, sf_dir):
     return similar.similar_sources(raw_sources(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_private_data(spark, sf_dir):
+    found = private.find_private_data(raw_sources(spark, sf_dir))
+    is_base = lambda s: s["kind"] != private.FOUND
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(kind) for kind in private.KINDS],
+        F.sha2(written(F.filter("spans", is_base)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
