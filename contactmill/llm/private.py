@@ -133,6 +133,20 @@ def discovered(spans: DataFrame, codes: DataFrame, rounds: int, trusted: float,
     return scores.where(F.col("found") >= trusted).select("match")
 
 
+def spans_by_text(texts: DataFrame, rounds: int = 3, trusted: float = 0.6, min_support: int = 3) -> DataFrame:
+    """``key, spans`` of the texts (``key, raw_text``) that have any."""
+    spans = cut_lineage(spans_of(texts.where(F.col("raw_text").rlike("[0-9@]"))).distinct())
+    codes = cut_lineage(clear_of_formats(spans))
+    named = codes.where(F.length("match") >= MIN_LENGTH).join(
+        discovered(spans, codes, rounds, trusted, min_support), "match", "left_semi"
+    )
+    every = spans.where(F.col("kind") != FOUND).select("key", "kind", "start", "end").unionByName(named.select("key", "kind", "start", "end"))
+    rank = F.array_position(F.array(*map(F.lit, (*KINDS, FOUND))), F.col("kind")).cast("int")
+    return every.groupBy("key").agg(
+        F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans")
+    )
+
+
 def find_private_data(raw_sources: DataFrame, rounds: int = 3, trusted: float = 0.6, min_support: int = 3) -> DataFrame:
     """Personal data of every raw source: ``id, spans``, one row per row of ``id, raw_text``.
 
@@ -145,27 +159,22 @@ def find_private_data(raw_sources: DataFrame, rounds: int = 3, trusted: float =
     has no spans; repeated rows give repeated rows; other columns are ignored.
     """
     texts = raw_sources.select("id", "raw_text").withColumn("key", F.xxhash64("id", "raw_text"))
-    spans = cut_lineage(spans_of(texts.where(F.col("raw_text").rlike("[0-9@]"))).distinct())
-    codes = cut_lineage(clear_of_formats(spans))
-    named = codes.where(F.length("match") >= MIN_LENGTH).join(
-        discovered(spans, codes, rounds, trusted, min_support), "match", "left_semi"
-    )
-    every = spans.where(F.col("kind") != FOUND).select("key", "kind", "start", "end").unionByName(named.select("key", "kind", "start", "end"))
-    rank = F.array_position(F.array(*map(F.lit, (*KINDS, FOUND))), F.col("kind")).cast("int")
-    per_text = every.groupBy("key").agg(
-        F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans")
-    )
+    per_text = spans_by_text(texts, rounds, trusted, min_support)
     none = F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>")
     return texts.select("id", "key").join(per_text, "key", "left").select("id", F.coalesce("spans", none).alias("spans"))
 
 
-def mask_private_data(raw_sources: DataFrame, **options) -> DataFrame:
-    """The raw sources with every span replaced by its kind in angle brackets: ``id, raw_text``, the text null where it was.
+def mask_private_data(rows: DataFrame, text: str = "raw_text", **options) -> DataFrame:
+    """The rows with every span in ``text`` replaced by its kind in angle brackets; a null text stays null.
 
-    Spans that overlap are replaced together, under the kind of the first.
+    All other columns stay. Spans that overlap are replaced together, under the kind of the first.
+    ``options`` go to ``find_private_data``.
     """
-    found = find_private_data(raw_sources, **options).where(F.size("spans") > 0).select("id", "spans").dropDuplicates(["id"])
-    return raw_sources.select("id", "raw_text").join(found, "id", "left").select("id", masked(F.col("raw_text"), F.col("spans")).alias("raw_text"))
+    keyed = rows.withColumn("_private_key", F.xxhash64(F.col(text)))
+    per_text = spans_by_text(keyed.select(F.col("_private_key").alias("key"), F.col(text).alias("raw_text")), **options)
+    per_text = per_text.select(F.col("key").alias("_private_key"), F.col("spans").alias("_private_spans"))
+    joined = keyed.join(per_text, "_private_key", "left")
+    return joined.withColumn(text, masked(F.col(text), F.col("_private_spans"))).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def masked(text: Column, spans: Column) -> Column:

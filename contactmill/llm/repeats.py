@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from contactmill.llm.rows import filter_rows
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
 WORDS_AT_ONCE = 100_000
@@ -116,8 +118,17 @@ def text_rows(ids: list, texts: list, min_words: int, max_covered: float, max_re
     return out
 
 
+#: least words of a run that counts, largest share of words in such runs, most words in one run
+LIMITS = (8, 0.5, 300)
+
+
+def keep_good_texts(rows: DataFrame, text: str = "raw_text", limits: tuple[int, float, int] = LIMITS) -> DataFrame:
+    """The rows whose text ``quality_rules`` keeps, with all their columns; nothing is shuffled."""
+    return filter_rows(rows, text, lambda: lambda texts: [r[-1] for r in text_rows(texts, texts, *limits)])
+
+
 def quality_rules(
-    raw_sources: DataFrame, min_words: int = 8, max_covered: float = 0.5, max_repeat: int = 300
+    raw_sources: DataFrame, min_words: int = LIMITS[0], max_covered: float = LIMITS[1], max_repeat: int = LIMITS[2]
 ) -> DataFrame:
     """Measure every raw source and decide whether it is kept: one row per row of ``id, raw_text``.
 

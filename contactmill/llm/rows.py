@@ -33,6 +33,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``f = make()`` is true of the text; ``f`` takes a list of texts."""
+    at_text = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                yield part.filter(pa.array(f(part.column(at_text).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def stream_rows(df: DataFrame, transform: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """Apply ``transform`` to the rows of every partition, in their order, as one stream of tuples."""
     target = to_arrow_schema(StructType.fromDDL(schema))

@@ -387,21 +387,13 @@ def light_boundary(classes: DataFrame) -> int:
     return boundary
 
 
-def similar_sources(raw_sources: DataFrame) -> DataFrame:
-    """Texts that share shingles: ``id, n_shingles, component_id``, one row per row of ``id, raw_text``.
-
-    Words are runs without ASCII white space, A-Z in lower case; a text's set holds its
-    distinct runs of five words, the whole sequence if there are fewer. Two
-    texts link if 100 * overlap >= 80 * union. ``component_id`` is the
-    smallest id reachable by links, its own included. An empty or
-    null text has an empty set and no link. Rows with equal texts are linked,
-    also with equal or null ids; a null id never names a component that has another. Other columns
-    are ignored; an empty table gives no rows. Shingles are compared by 64-bit hashes.
-    """
+def grouped(raw_sources: DataFrame) -> DataFrame:
+    """``id, key, n, first``: each row with its number of shingles and the first row (``absent, id, key``) of its group; null for an empty set."""
     sets = sketch(raw_sources)
+    row = F.struct(F.isnull("id").alias("absent"), "id", "key")
     classes = cut_lineage(
         sets.where("n > 0").groupBy("n", "h1", "h2").agg(
-            F.min_by(F.struct("key", "first", "prefix", "small"), "key").alias("rep"), F.min("id").alias("least")
+            F.min_by(F.struct("key", "first", "prefix", "small"), "key").alias("rep"), F.min(row).alias("least")
         ).select("n", "h1", "h2", "rep.*", "least")
     )
     boundary = light_boundary(classes)
@@ -412,9 +404,35 @@ def similar_sources(raw_sources: DataFrame) -> DataFrame:
     settled = classes.select("n", "h1", "h2", "key", "least").join(
         components.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("component", F.coalesce("component", "key"))
-    names = settled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = settled.join(names, "component").select("n", "h1", "h2", "component_id")
-    own = F.coalesce("component_id", "id")
-    return sets.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left").select(
-        "id", F.col("n").alias("n_shingles"), own.alias("component_id")
+    names = settled.groupBy("component").agg(F.min("least").alias("first"))
+    named = settled.join(names, "component").select("n", "h1", "h2", "first")
+    return sets.select("id", "key", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left").drop("h1", "h2")
+
+
+def similar_sources(raw_sources: DataFrame) -> DataFrame:
+    """Texts that share shingles: ``id, n_shingles, component_id``, one row per row of ``id, raw_text``.
+
+    Words are runs without ASCII white space, A-Z in lower case; a text's set holds its
+    distinct runs of five words, the whole sequence if there are fewer. Two
+    texts link if 100 * overlap >= 80 * union. ``component_id`` is the
+    smallest id reachable by links, its own included. An empty or
+    null text has an empty set and no link. Rows with equal texts are linked,
+    also with equal or null ids; a null id never names a component that has another. Other columns
+    are ignored; an empty table gives no rows. Shingles are compared by 64-bit hashes.
+    """
+    return grouped(raw_sources).select(
+        "id", F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id")
     )
+
+
+def keep_first_of_similar(rows: DataFrame, id_column: str = "id", text: str = "raw_text") -> DataFrame:
+    """One row of each group of similar texts, with all its columns: the one with the smallest id (of repeated rows, one).
+
+    Rows without words are in no group and all stay.
+    """
+    sources = rows.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("raw_text"))
+    kept = grouped(sources).where(F.col("first").isNull() | (F.col("key") == F.col("first.key")))
+    kept = kept.groupBy("key").agg(F.max(F.col("n") > 0).alias("_once")).withColumnRenamed("key", "_row")
+    keyed = rows.withColumn("_row", F.xxhash64(F.col(id_column).cast("long"), F.col(text)))
+    joined = keyed.join(kept, "_row")
+    return joined.where("_once").dropDuplicates(["_row"]).unionByName(joined.where("NOT _once")).drop("_row", "_once")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactmill.llm.rows import map_rows
+from contactmill.llm.rows import filter_rows, map_rows
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -223,6 +223,12 @@ def fit_toxicity(
     return ToxicityModel(stems, words, prior)
 
 
+def drop_toxic(rows: DataFrame, model: ToxicityModel, text: str = "raw_text") -> DataFrame:
+    """The rows whose text scores below 0.5, with all their columns; nothing is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(rows, text, lambda: lambda texts: [shared.value.score(t) < 0.5 for t in texts])
+
+
 def score_toxicity(raw_sources: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """Toxicity of every raw source: ``id, score, toxic``, one row per row of ``id, raw_text``.
 
