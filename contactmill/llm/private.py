@@ -71,6 +71,7 @@ def spans_of(texts: DataFrame) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
+    every = every.distinct()  # repeated rows share a key
     along = Window.partitionBy("key", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     n = F.length("match")
     end = F.sum(F.col("gap").cast("long") + n).over(along)
