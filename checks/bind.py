@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.session import spread
 from contactmill.sources.tables import Tables, hydrate_json_columns
 
 BASE = (
@@ -192,8 +191,8 @@ class Views:
         return self.spark.sql(safe, **{n: self.base(n) for n in used})
 
     def texts(self, text: str, key: str = "id") -> DataFrame:
-        """The rows of a SQL text, spread over the cores for text work."""
-        return spread(self.sql(text), key)
+        """The rows of a SQL text, dealt out by key for text work (one small file is one partition)."""
+        return self.sql(text).repartition(key)
 
     @cached_property
     def stored_leads(self) -> DataFrame:
@@ -210,7 +209,7 @@ class Views:
 
     @cached_property
     def raw_texts(self) -> DataFrame:
-        return spread(self.view("raw_sources"), "id")
+        return self.view("raw_sources").repartition("id")
 
     @cached_property
     def tables(self) -> Tables:

@@ -407,10 +407,8 @@ def _(v):
     return drain(v, seen.select("command_id"), "dedupe")
 
 
-STREAM_SQL = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY command_id ORDER BY ts, event_id) AS n FROM command_events),
-s AS (SELECT command_id, event_id, n, CAST(NULL AS VARCHAR) AS previous, status FROM e WHERE n = 1
-  UNION ALL SELECT e.command_id, e.event_id, e.n, CASE WHEN s.status IN ('succeeded', 'rejected', 'failed') THEN NULL ELSE s.status END, e.status FROM s JOIN e ON e.command_id = s.command_id AND e.n = s.n + 1)
-SELECT command_id, event_id, previous, status, coalesce((previous IS NULL AND status = 'received') OR """ + LEGAL + ", false) AS legal FROM s"
+STREAM_SQL = """SELECT command_id, event_id, previous, status, coalesce((previous IS NULL AND status = 'received') OR """ + LEGAL + """, false) AS legal
+FROM (SELECT *, lag(status) OVER (PARTITION BY command_id ORDER BY ts, event_id) AS previous FROM command_events)"""
 
 
 @query("stream_command_state", STREAM_SQL)

@@ -99,7 +99,7 @@ def section_after(lines: Column, header: str, stops=()) -> Column:
     def body_of(title: Column, rest: Column) -> Column:
         same_line = F.when(
             F.lower(title).startswith(low + ":"),
-            blank_to_null(clean_line(F.substring(title, len(low) + 2, 1_000_000))),
+            blank_to_null(clean_line(F.substr(title, F.lit(len(low) + 2)))),
         )
         gap = F.greatest(index_where(rest, lambda l: l != "") - 1, F.lit(0))
         return let(

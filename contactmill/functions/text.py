@@ -70,7 +70,7 @@ def merge_company_name(existing: Column, new: Column) -> Column:
     paste accident: the stored name stays.
     """
     old, fresh = sanitize_company_name(existing), sanitize_company_name(new)
-    clipped = F.lower(fresh) == F.lower(F.substring(old, 2, 1_000_000))
+    clipped = F.lower(fresh) == F.lower(F.substr(old, F.lit(2)))
     return (
         F.when(F.coalesce(fresh, F.lit("")) == "", F.lit(None).cast("string"))
         .when(F.coalesce(old, F.lit("")) == "", fresh)

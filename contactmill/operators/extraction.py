@@ -250,7 +250,7 @@ def extract_email_message(docs: DataFrame, text: str, out: str) -> DataFrame:
     marks = F.transform(top, lambda l: F.lower(l).startswith("subject:"))
     docs = docs.withColumn("_e_lines", clean_lines(t))
     docs = docs.withColumn("_e_at", F.array_position(marks, F.lit(True)).cast("int"))
-    titled = blank_to_null(strip(F.substring(F.try_element_at(lines, F.nullif(at, F.lit(0))), 9, 1_000_000)))
+    titled = blank_to_null(strip(F.substr(F.try_element_at(lines, F.nullif(at, F.lit(0))), F.lit(9))))
     docs = docs.withColumns(
         {
             "_e_subject": F.coalesce(titled, line_at(lines, 1)),

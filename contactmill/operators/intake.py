@@ -9,7 +9,6 @@ from contactmill.functions.scoring import fit_score
 from contactmill.functions.text import extract_emails, is_directory_url
 from contactmill.operators.extraction import FIELDS, extract_all, resolve_extraction
 from contactmill.operators.linkage import (
-    NAMELESS_CREATES,
     linkage_records,
     placeholder_name,
     resolve_leads,
@@ -24,7 +23,7 @@ from contactmill.operators.merge import (
     write_fit_scores,
 )
 from contactmill.operators.numbering import number_rows
-from contactmill.session import cut_lineage, spread
+from contactmill.session import cut_lineage
 from contactmill.sources.tables import Tables
 
 
@@ -32,7 +31,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
     """Raw rows (``id, source_type, source_url, raw_text, attach_lead_id, created_at`` and
     optionally ``model_output``) to records with parsed fields as columns."""
     docs = raw if "model_output" in raw.columns else raw.withColumn("model_output", F.lit(None).cast("string"))
-    parsed = resolve_extraction(extract_all(spread(docs, "id")))
+    parsed = resolve_extraction(extract_all(docs))
     is_mail = F.col("source_type") == "email"
     fields = [F.col(f"parsed.{n}").alias(n) for n in FIELDS if n != "confidence"]
     return parsed.select(
@@ -52,14 +51,16 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
 
 def resolved_records(records: DataFrame, leads: DataFrame) -> DataFrame:
-    """Records with their lead, and the name and site that go onto it."""
+    """Records with their lead, and the name and site that go onto it.
+
+    A nameless record names its lead only where it creates the placeholder.
+    """
     links = resolve_leads(linkage_records(records), leads).withColumnRenamed("record_id", "_rec")
     nameless = F.coalesce("company_name", F.lit("")) == ""
-    creates = F.col("source_type").isin(*NAMELESS_CREATES) & F.col("attach_lead_id").isNull()
     borrowed = F.when(~is_directory_url(F.col("source_url")), F.col("source_url"))
     return records.join(links, F.col("record_id") == F.col("_rec")).drop("_rec").withColumns(
         {
-            "company_name": F.when(nameless & creates, placeholder_name(F.col("source_type"))).otherwise(
+            "company_name": F.when(nameless & F.col("creates"), placeholder_name(F.col("source_type"))).otherwise(
                 F.col("company_name")
             ),
             "website": F.coalesce(F.nullif("website", F.lit("")), borrowed),

@@ -440,6 +440,8 @@ def _replay_step(state: _Replay, row):
             if hits:
                 place = min(hits)
                 break
+    if place is None and row.seeks:
+        place = min(state.find(domain=domain), default=None)
     known = place is not None
     if not known and not name:
         return (row.record_id, -1, -1, False, False)
@@ -469,16 +471,20 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
     record that ``creates`` them. ``lead_id`` is NULL where nothing matches and the
     record may not create a lead.
 
-    Nameless records of a creating type share one placeholder lead per type;
-    they are assigned before linkage and do not link other records.
+    A nameless record of a creating type goes to the oldest lead with its site, whose
+    stored name stays. Those whose site no lead has, and those without one, share one
+    placeholder lead per type, which does not link other records.
     """
     nameless = F.col("name_key").isNull() & F.col("attach").isNull()
-    placeholder = nameless & F.col("source_type").isin(*NAMELESS_CREATES)
-    records = number_rows(records, ["arrived", "record_id"], "place")
+    seeks = nameless & F.col("source_type").isin(*NAMELESS_CREATES)
+    placeholder = seeks & F.col("domain_key").isNull()
+    records = number_rows(records, ["arrived", "record_id"], "place").withColumn("seeks", seeks)
     held = leads.select("id", "company_name", "normalized_name", "domain", "company_email")
     open_rows = records.filter(~placeholder)
 
-    parts = connected_components(star_edges(_keyed_nodes(open_rows, held)))
+    keyed = _keyed_nodes(open_rows, held)
+    carried = keyed.filter(F.col("node") % 2 == 1).select("key").distinct()
+    parts = connected_components(star_edges(keyed.join(carried, "key", "left_semi")))
     rec = with_component(
         open_rows.withColumn("node", _record_node(F.col("record_id"))), parts
     ).withColumn("kind", F.lit(1))
@@ -550,6 +556,7 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
         F.coalesce("attach", F.lit(-1)).alias("attach"),
         F.coalesce("place", F.lit(-1)).alias("place"),
         F.coalesce("is_mail", F.lit(False)).alias("is_mail"),
+        F.coalesce("seeks", F.lit(False)).alias("seeks"),
         F.coalesce("mails", F.array().cast("array<string>")).alias("mails"),
     )
     replayed = fold_in_order(
@@ -557,7 +564,10 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
         "record_id long, old_lead long, creator long, possible_duplicate boolean, creates boolean",
     ).withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("old_lead", "creator")})
 
-    unnamed = records.filter(placeholder).withColumn("name_key", placeholder_key(F.col("source_type")))
+    opened = cut_lineage(settled.unionByName(alone).unionByName(replayed))
+    unmatched = opened.filter("old_lead IS NULL AND creator IS NULL").select("record_id")
+    late = records.filter(F.col("seeks") & F.col("domain_key").isNotNull()).join(unmatched, "record_id", "left_semi")
+    unnamed = records.filter(placeholder).unionByName(late).withColumn("name_key", placeholder_key(F.col("source_type")))
     seats = held.filter(F.col("normalized_name").isNotNull()).groupBy("normalized_name").agg(
         F.min("id").alias("old_lead")
     )
@@ -574,7 +584,7 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
     )
 
     linked = cut_lineage(
-        settled.unionByName(alone).unionByName(replayed).unionByName(parked)
+        opened.join(late.select("record_id"), "record_id", "left_anti").unionByName(parked)
     )
     creators = linked.filter(F.col("creator").isNotNull()).select("creator").distinct()
     top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()

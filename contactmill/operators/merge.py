@@ -106,7 +106,7 @@ def merged_names(leads: DataFrame, changes: DataFrame) -> DataFrame:
     every = stored.unionByName(writes)
     names = every.select("lead_id", F.lower("company_name").alias("low")).distinct()
     clipped = names.select(
-        F.col("lead_id").alias("_lead"), F.substring("low", 2, 1_000_000).alias("_low")
+        F.col("lead_id").alias("_lead"), F.substr("low", F.lit(2)).alias("_low")
     )
     risky = names.join(
         clipped, (F.col("lead_id") == F.col("_lead")) & (F.col("low") == F.col("_low")), "left_semi"

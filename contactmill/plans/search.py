@@ -247,11 +247,11 @@ def question_intents(questions: DataFrame, col: str = "text") -> DataFrame:
     sure = any_contains(q, vocab.SEARCH_WORDS)
     label = F.col("intent")
     company = reduce(
-        lambda acc, p: acc.when(q.startswith(p), F.trim(F.substring(raw, len(p) + 1, 1_000_000))),
+        lambda acc, p: acc.when(q.startswith(p), F.trim(F.substr(raw, F.lit(len(p) + 1)))),
         vocab.SUMMARY_PREFIXES[1:],
         F.when(
             q.startswith(vocab.SUMMARY_PREFIXES[0]),
-            F.trim(F.substring(raw, len(vocab.SUMMARY_PREFIXES[0]) + 1, 1_000_000)),
+            F.trim(F.substr(raw, F.lit(len(vocab.SUMMARY_PREFIXES[0]) + 1))),
         ),
     )
     services = F.array_compact(

@@ -25,18 +25,6 @@ def local_session(app: str = "contactmill", cores: str = "8", memory: str = "8g"
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy text work at least one partition per core.
-
-    Only an input with fewer partitions than cores is repartitioned; a large
-    table already has plenty and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 

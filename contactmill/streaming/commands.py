@@ -15,22 +15,27 @@ STEP = "command_id long, event_id long, ts timestamp, previous string, status st
 
 
 class CommandStates(StatefulProcessor):
-    """Keeps the last status per command until it ends; emits every step with its verdict."""
+    """Keeps the last status per command, the final one too; emits every step with its verdict.
+
+    Nothing is legal after a final status. Its state goes ``ttl`` after the last
+    change; a step that comes later is judged as the first of a new command.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string")
+        self.last = handle.getValueState("last", "status string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         before = self.last.get()[0] if self.last.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        steps = sorted(step for part in rows for step in zip(part["ts"], part["event_id"], part["status"]))
         out = []
-        for event_id, ts, status in zip(batch["event_id"], batch["ts"], batch["status"]):
+        for ts, event_id, status in steps:
             allowed = ("received",) if before is None else vocab.ALLOWED_TRANSITIONS.get(before, ())
             out.append((key[0], event_id, ts, before, status, status in allowed))
-            before = None if status in vocab.TERMINAL_STATUSES else status
-        if before is None:
-            self.last.clear()
-        else:
+            before = status
+        if before is not None:
             self.last.update((before,))
         yield pd.DataFrame(out, columns=["command_id", "event_id", "ts", "previous", "status", "legal"])
 
@@ -38,20 +43,21 @@ class CommandStates(StatefulProcessor):
         pass
 
 
-def stream_command_state(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Steps of each command as they arrive; state goes when a command ends.
+def stream_command_state(events: DataFrame, ttl_days: float = 90) -> DataFrame:
+    """Steps of each command as they arrive, judged by the same rule as the batch ``illegal_transitions``.
 
-    Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB
+    Steps of one micro-batch are put in order of time; one that arrives in a later
+    micro-batch is judged after those before it, none is dropped. The last status of a command is kept for
+    ``ttl_days`` after its last step (by the clock of the job), also once it has ended. Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB
     provider. ``ts`` must be a timestamp with the session zone.
     """
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy("command_id")
+        events.groupBy("command_id")
         .transformWithStateInPandas(
-            statefulProcessor=CommandStates(),
+            statefulProcessor=CommandStates(round(ttl_days * 86_400_000)),
             outputStructType=STEP,
             outputMode="Append",
-            timeMode="None",
+            timeMode="ProcessingTime",
         )
     )
 

@@ -24,6 +24,11 @@ def one_by_one(records, leads):
         domain = r["website"]
         if not name and r["attach"] is None and r["source_type"] in linkage.NAMELESS_CREATES:
             kind = r["source_type"]
+            owner = min(match(None, domain), key=lambda l: l["id"], default=None)
+            if owner:
+                owner["mail"] = r["company_email"] or owner["mail"]
+                out[r["record_id"]] = owner["id"]
+                continue
             seats = [l["id"] for l in store if l["name"] == f"unknown {kind}"]
             if kind not in parked:
                 if not seats:
@@ -121,6 +126,19 @@ def test_same_leads_as_one_by_one(spark):
     assert got == one_by_one(records, leads)
 
 
+def test_nameless_note_goes_to_the_lead_of_its_site(spark):
+    leads = [{"id": 7, "raw": "Acme", "name": "acme", "domain": "acme.com", "mail": None}]
+    note = {
+        "arrived": datetime(2024, 1, 1), "source_type": "note", "attach": None, "company_name": None,
+        "website": None, "company_email": None, "emails": [],
+    }
+    urls = ["https://acme.com/x", "https://other.com/y", None, "https://other.com/z"]
+    rec, held = frames(spark, [note | {"record_id": i, "source_url": u} for i, u in enumerate(urls)], leads)
+    got = {r["record_id"]: r for r in linkage.resolve_leads(rec, held).collect()}
+    assert [got[i]["lead_id"] for i in range(4)] == [7, 8, 8, 8]
+    assert [got[i]["creates"] for i in range(4)] == [False, True, False, False]
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     links = spark.createDataFrame([(i + 1, i) for i in range(n)], "node long, low long")
