@@ -13,22 +13,29 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from contactmill.llm.rows import map_rows, stream_rows
+from contactmill.llm.rows import stream_rows
 from contactmill.operators.numbering import number_rows
 from contactmill.session import cut_lineage
 
 DEPTH = 6
 SHIFTS = (0, 61, -61)
 SWEEPS = 12
-CACHED_CHUNKS = 500_000
-MARKS = ".,;:!?)%$&*#|"
+CACHED_CHUNKS = 400_000
+BATCH_OCTETS = 6 << 20
+MARK = "|"
 PIECES = (
     "id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
 )
@@ -62,42 +69,70 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids[0]
         self.ids = Recent({})
 
     def _learn(self) -> None:
-        pairs = {}
-        for chunk in self.ids.unknown:
-            # closing marks are tokens apart from a word, and ASCII letters lose their case
-            core = chunk.rstrip(MARKS)
-            if not core[-1:].isalpha():
-                core = chunk
-            pairs[chunk] = (core.lower() if core.isascii() else core, chunk[len(core):])
+        """Encode the unknown chunks in one text, each followed by a mark that is one token."""
+        unknown = [c for c in self.ids.unknown if MARK not in c and "<|" not in c]
+        for chunk in self.ids.unknown.difference(unknown):
+            self.ids[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         self.ids.unknown = set()
-        words = list({w for pair in pairs.values() for w in pair})
-        known = dict(zip(words, map(self.ids.__getitem__, words)))
-        unknown = list(self.ids.unknown)
-        self.ids.unknown = set()
-        if unknown:
-            found = self.library.encode(unknown, is_pretokenized=True, add_special_tokens=False)
-            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(unknown))
-            ids, ends = np.array(found.ids, self.dtype).tobytes(), (np.cumsum(counts) * np.dtype(self.dtype).itemsize).tolist()
-            known.update(zip(unknown, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
-        self.ids.update(known)
-        self.ids.update((chunk, known[a] + known[b]) for chunk, (a, b) in pairs.items())
-
-    def encode(self, text: str | None) -> bytes:
+        text = "".join([f"{c} {MARK} " for c in unknown])
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(ids == self.mark)
+        ids, size = ids.tobytes(), ids.itemsize
+        ends = (ends * size).tolist()
+        starts = [0, *(e + size for e in ends)]
+        self.ids.update(zip(unknown, (ids[x:y] for x, y in zip(starts, ends))))
+
+    @staticmethod
+    def _plain(texts: pa.StringArray) -> pa.StringArray:
+        """The same tokens from fewer different chunks: ASCII in lower case, and closing marks apart from their word.
+
+        A text that may spell a special token is left alone, since those have no other case.
+        """
+        texts = texts.fill_null("")
+        lower = pc.replace_substring_regex(pc.ascii_lower(texts), r"([0-9a-z])([.,]+)([ \n]|$)", r"\1 \2\3")
+        return pc.if_else(pc.match_substring(texts, "<|"), texts, lower)
+
+    def encode_batch(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text. The distinct chunks of the batch are looked up once; numpy lays their ids out."""
         if len(self.ids) > CACHED_CHUNKS:
             self.ids = Recent(self.ids)
-        chunks = (text or "").replace("\n", " ").split(" ")
-        out = b"".join(map(self.ids.__getitem__, chunks))
+        chunks = pc.split_pattern(pc.replace_substring(self._plain(texts), "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.ids.__getitem__, distinct))
         if self.ids.unknown:
             self._learn()
-            out = b"".join(map(self.ids.__getitem__, chunks))
-        return out
+            found = list(map(self.ids.__getitem__, distinct))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.dtype).itemsize
+        tokens, first = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        flat = tokens[np.repeat(first[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+        bounds = ends[chunks.offsets.to_numpy()]
+        return [flat[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_batch(pa.array([text], pa.string()))[0]
+
+
+def parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts take about ``BATCH_OCTETS`` together."""
+    sizes = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + BATCH_OCTETS)))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
     return ChunkEncoder(path)
 
 
@@ -213,18 +248,20 @@ def pack_sources(raw_sources: DataFrame, vocabulary: str, end_id: int = 2, windo
     Tokens are written once to the shared folder; ranks are taken on a range-sorted
     table of two numbers per source; the plan (at most ``window`` lengths) is made on the driver.
     """
-    def tokenized():
-        model = encoder(vocabulary)
-        end = np.array([end_id], model.dtype).tobytes()
-        size = np.dtype(model.dtype).itemsize
-
-        def encode(i, text):
-            ids = model.encode(text) + end
-            return i, len(ids) // size, size, ids
-        return encode
-
     schema = "id long, doc_tokens long, id_bytes int, ids binary"
-    tokens = map_rows(raw_sources.select("id", "raw_text"), tokenized, schema)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(vocabulary)
+        end, size = np.array([end_id], model.dtype).tobytes(), np.dtype(model.dtype).itemsize
+        for batch in batches:
+            for part in parts(batch, 1):
+                texts = part.column(1).cast(pa.string())
+                ids = [x + end for x in model.encode_batch(texts)]
+                columns = part.column(0).to_pylist(), [len(x) // size for x in ids], [size] * len(ids), ids
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
+
+    tokens = raw_sources.select("id", "raw_text").mapInArrow(tokenized, schema)
     tokens = cut_lineage(tokens.withColumn("source", F.monotonically_increasing_id()))
 
     tails = tokens.select("source", "doc_tokens", (F.col("doc_tokens") % window).alias("tail")).where("tail > 0")
