@@ -15,17 +15,13 @@ STEP = "command_id long, event_id long, ts timestamp, previous string, status st
 
 
 class CommandStates(StatefulProcessor):
-    """Keeps the last status per command, the final one too; emits every step with its verdict.
+    """Keeps the last status per command, the final one too; emits every step with its verdict."""
 
-    Nothing is legal after a final status. Its state goes ``ttl`` after the last
-    change; a step that comes later is judged as the first of a new command.
-    """
-
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string", ttlDurationMs=self.ttl_ms)
+        self.last = handle.getValueState("last", "status string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         before = self.last.get()[0] if self.last.exists() else None
@@ -43,21 +39,26 @@ class CommandStates(StatefulProcessor):
         pass
 
 
-def stream_command_state(events: DataFrame, ttl_days: float = 90) -> DataFrame:
+def stream_command_state(events: DataFrame, ttl_days: float | None = None) -> DataFrame:
     """Steps of each command as they arrive, judged by the same rule as the batch ``illegal_transitions``.
 
-    Steps of one micro-batch are put in order of time; one that arrives in a later
-    micro-batch is judged after those before it, none is dropped. The last status of a command is kept for
-    ``ttl_days`` after its last step (by the clock of the job), also once it has ended. Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB
+    Steps of one micro-batch are put in order of time; one that arrives in a
+    later micro-batch is judged after those before it; none is dropped. Nothing is
+    legal after a final status, so the last status of every command is kept: for
+    ever, or for ``ttl_days`` after its last step by the clock of the job. With a
+    ``ttl_days`` the query needs a trigger that runs on (not ``availableNow``), and a step
+    after that time is judged as the first of a new command.
+
+    Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB
     provider. ``ts`` must be a timestamp with the session zone.
     """
     return (
         events.groupBy("command_id")
         .transformWithStateInPandas(
-            statefulProcessor=CommandStates(round(ttl_days * 86_400_000)),
+            statefulProcessor=CommandStates(None if ttl_days is None else round(ttl_days * 86_400_000)),
             outputStructType=STEP,
             outputMode="Append",
-            timeMode="ProcessingTime",
+            timeMode="None" if ttl_days is None else "ProcessingTime",
         )
     )
 
