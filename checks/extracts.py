@@ -99,7 +99,7 @@ def piece(key: str, names: list[str], fn):
 
 
 piece("guess_company_name", ["company_name"], lambda l, t, c: {
-    "company_name": F.when(D.is_company_line(L.line_at(l, 1)), L.line_at(l, 1))})
+    "company_name": E.guess_company_name(l)})
 piece("extract_tier_signals", ["partner_tier", "rating", "review_count"], lambda l, t, c: {
     n: D.tier_signals(t, l)[n] for n in ("partner_tier", "rating", "review_count")})
 piece("extract_website_directory", ["website"], lambda l, t, c: {"website": D.directory_website(t, c)})

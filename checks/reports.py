@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.bind import duck_stamp, stamp
@@ -9,6 +11,7 @@ from checks.registry import query
 from contactmill.functions.text import has_text
 from contactmill.operators import linkage, quality
 from contactmill.plans import legacy, reports, search
+from contactmill.session import shared_dir
 from contactmill.sources import tables as src
 
 AS_OF = "1998-06-01"
@@ -20,7 +23,12 @@ RANK = "fit_score DESC NULLS LAST, updated_at DESC NULLS LAST, id"
 # --- sources -------------------------------------------------------------------
 @query("read_tables", "SELECT id, company_name, website, fit_score, status, " + duck_stamp("created_at") + " FROM leads")
 def _(v):
-    return v.stored_leads.select("id", "company_name", "website", "fit_score", "status", stamp("created_at"))
+    root = f"{shared_dir(v.spark)}/tables-{uuid.uuid4().hex}"
+    stored = {"leads": v.stored_leads, "people": v.people, "raw_sources": v.raw_sources, "interactions": v.interactions, "tasks": v.tasks}
+    for name, df in stored.items():
+        src.upgrade_schema(df, src.SCHEMAS[name]).select(*[f.name for f in src.struct_of(src.SCHEMAS[name])]).write.parquet(f"{root}/{name}")
+    v.spark.createDataFrame([], src.struct_of(src.SCHEMAS["command_log"])).write.parquet(f"{root}/command_log")
+    return src.read_tables(v.spark, root).leads.select("id", "company_name", "website", "fit_score", "status", stamp("created_at"))
 
 
 @query(
@@ -458,11 +466,10 @@ def _(v):
 @query(
     "high_relevance_no_open_followup",
     f"""SELECT id, fit_score FROM leads l WHERE {ACTIVE} AND fit_score >= 70
-AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.lead_id = l.id AND t.status = 'open' AND t.priority = 'high')""",
+AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.lead_id = l.id AND t.status = 'open')""",
 )
 def _(v):
-    t = v.tables.with_(tasks=v.tasks.filter(F.col("priority") == "high"))
-    return reports.high_relevance_no_open_followup(t).select("id", "fit_score")
+    return reports.high_relevance_no_open_followup(v.tables).select("id", "fit_score")
 
 
 # --- sorts, limits, set operations -------------------------------------------------------

@@ -227,6 +227,20 @@ def _outcomes(df: DataFrame, entity: str, outcome: str, reason: str) -> DataFram
     )
 
 
+def _children(df: DataFrame, leads: DataFrame, entity: str) -> DataFrame:
+    """Rows of a child table with and without their lead, counted in one pass."""
+    keys = leads.select(F.col("id").alias("_org_lead"))
+    found = F.col("_org_lead").isNotNull()
+    counts = df.join(keys, F.col("lead_id") == F.col("_org_lead"), "left").agg(
+        F.count_if(found).alias("moved"), F.count_if(~found).alias("left")
+    )
+    outcomes = F.array(
+        F.struct(F.lit("migrated").alias("outcome"), F.lit("").alias("reason"), F.col("moved").alias("n")),
+        F.struct(F.lit("skipped").alias("outcome"), F.lit("missing_org").alias("reason"), F.col("left").alias("n")),
+    )
+    return counts.select(F.lit(entity).alias("entity"), F.inline(outcomes))
+
+
 def reconciliation_report(t: Tables, existing: Normalised | None = None) -> DataFrame:
     """``entity, outcome, reason, n``: what a conversion moves, skips or finds in conflict.
 
@@ -247,8 +261,7 @@ def reconciliation_report(t: Tables, existing: Normalised | None = None) -> Data
         ),
     ]
     for entity, df in (("person", t.people), ("interaction", t.interactions), ("task", t.tasks)):
-        parts.append(_outcomes(_with_org(df, t.leads), entity, "migrated", ""))
-        parts.append(_outcomes(_without_org(df, t.leads), entity, "skipped", "missing_org"))
+        parts.append(_children(df, t.leads, entity))
     if existing:
         known = orgs.select(F.col("legacy_lead_id").alias("_known"))
         parts.append(

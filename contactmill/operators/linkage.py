@@ -163,50 +163,43 @@ def people_by_linkedin_semi(
     )
 
 
+SLUG_GRAM = 4
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``small, big`` for every slug of ``long`` that has one of ``short`` inside.
+
+    A slug of at least ``SLUG_GRAM`` letters is looked up by its first gram among
+    all grams of the longer ones, then tested; a shorter one by itself among the substrings of its
+    own length. Either way a slug of L letters makes about L rows.
+    """
+    def grams(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("big") - n + 1), lambda at: F.substring("big", at, n))
+        return F.array_distinct(F.when(F.length("big") >= n, every).otherwise(F.array().cast("array<string>")))
+
+    anchors = short.select(
+        "small", F.least(F.length("small"), F.lit(SLUG_GRAM)).alias("n"), F.left("small", F.lit(SLUG_GRAM)).alias("part")
+    ).where("n > 0")
+    parts = long.select(
+        "big", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), grams(n).alias("parts")) for n in range(1, SLUG_GRAM + 1)])).alias("g")
+    ).select("big", F.col("g.n").alias("n"), F.explode("g.parts").alias("part"))
+    return anchors.join(parts, ["n", "part"]).where(F.contains("big", "small")).select("small", "big")
+
+
 def slug_contains_join(queries: DataFrame, companies: DataFrame) -> DataFrame:
     """For each query slug the company slug that contains it or lies inside it.
 
-    An exact match wins, else the first in sorted order. Containment becomes
-    equality on substrings: one side lists its substrings, is reduced to the
-    smallest slug per substring, and joins by key. Work grows with the slugs'
-    length, not with the product of the two tables.
+    An exact match wins, else the first in sorted order.
     """
-    def substrings(c: Column) -> Column:
-        return F.array_distinct(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(c)),
-                    lambda at: F.transform(
-                        F.sequence(F.lit(1), F.length(c) - at + 1),
-                        lambda n: F.substring(c, at, n),
-                    ),
-                )
-            )
-        )
-
     q = queries.select("slug").distinct()
     c = companies.select(F.col("slug").alias("company_slug")).distinct()
-    exact = q.join(c, F.col("slug") == F.col("company_slug")).select(
-        "slug", F.lit(0).alias("rank"), "company_slug"
-    )
-    inside = (
-        q.select("slug", F.explode(substrings(F.col("slug"))).alias("part"))
-        .join(c, F.col("part") == F.col("company_slug"))
-        .select("slug", F.lit(1).alias("rank"), "company_slug")
-    )
-    around = (
-        c.select("company_slug", F.explode(substrings(F.col("company_slug"))).alias("part"))
-        .groupBy("part")
-        .agg(F.min("company_slug").alias("company_slug"))
-        .join(q, F.col("part") == F.col("slug"))
-        .select("slug", F.lit(1).alias("rank"), "company_slug")
-    )
-    best = exact.unionByName(inside).unionByName(around).groupBy("slug").agg(
-        F.min(F.struct("rank", "company_slug")).alias("best")
-    )
-    return queries.join(
-        best.select("slug", F.col("best.company_slug").alias("company_slug")), "slug", "left"
+    inside = _contained(c.select(F.col("company_slug").alias("small")), q.select(F.col("slug").alias("big")))
+    around = _contained(q.select(F.col("slug").alias("small")), c.select(F.col("company_slug").alias("big")))
+    found = inside.select(F.col("big").alias("slug"), F.col("small").alias("company_slug")).unionByName(
+        around.select(F.col("small").alias("slug"), F.col("big").alias("company_slug"))
     )
+    best = found.groupBy("slug").agg(F.min(F.struct(F.col("slug") != F.col("company_slug"), "company_slug"))["company_slug"].alias("company_slug"))
+    return queries.join(best, "slug", "left")
 
 
 # --- components --------------------------------------------------------------

@@ -16,7 +16,7 @@ from contactmill.functions.text import (
     is_host_mail,
     normalize_text,
 )
-from contactmill.plans.reports import by_rank, leads_with_rollup
+from contactmill.plans.reports import by_rank, people_rollup
 from contactmill.sources.tables import Tables
 
 BLOB_SCALARS = (
@@ -87,11 +87,20 @@ def _plain(value: str) -> str:
     return " ".join(value.lower().split())
 
 
+def _whole(value) -> int | None:
+    """A filter's number; one that is no number counts as not given."""
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return None
+
+
 def passes_filters(filters: dict) -> Column:
     """Row test on a lead with its roll-up columns."""
     tests = [F.lit(True)]
-    if filters.get("min_fit_score") not in (None, ""):
-        tests.append(F.coalesce("fit_score", F.lit(0)) >= int(filters["min_fit_score"]))
+    least = _whole(filters.get("min_fit_score"))
+    if least is not None:
+        tests.append(F.coalesce("fit_score", F.lit(0)) >= least)
     for name, extra in (("services", ()), ("locations", ("primary_location",)), ("industries", ())):
         wanted = [_plain(v) for v in _as_list(filters.get(name) or filters.get(name[:-1]))]
         if filters.get("industry") and name == "industries" and not wanted:
@@ -163,7 +172,12 @@ def search_leads_ranked(
     """
     filters = filters or {}
     needs_people = any(filters.get(k) is not None for k in ("has_contacts", "has_decision_maker"))
-    leads = leads_with_rollup(t) if needs_people else t.leads
+    leads = t.leads
+    if needs_people:  # of the child tables only people
+        rollup = people_rollup(t.people).withColumnRenamed("lead_id", "_lead")
+        leads = leads.join(rollup, F.col("id") == F.col("_lead"), "left").drop("_lead").fillna(
+            {"people_count": 0, "has_decision_maker": False}
+        )
     terms = query_terms(query)
     kept = leads.filter(passes_filters(filters)).withColumn("_blob", search_blob())
     scored = F.array(F.struct(_score(terms, _filter_values(filters)).alias("score")))

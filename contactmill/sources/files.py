@@ -10,6 +10,7 @@ from contactmill.functions.text import blank_to_null, json_object_text, strip
 from contactmill.plans.reports import by_rank, leads_with_rollup
 from contactmill.sources.tables import Tables
 
+# Field names of the JSON files and the header of the CSV file.
 CONTACT = "name string, email string, role string, company string, linkedin string, notes string"
 COMPANY = (
     "name string, website string, country string, industry string, fit_score int, "
@@ -81,8 +82,10 @@ def explode_contacts_index(docs: DataFrame, text: str = "value") -> DataFrame:
     return objects.select("key", F.from_json("_item", CONTACT).alias("c")).select("key", "c.*").orderBy("key")
 
 
-def read_contacts_index(spark: SparkSession, path: str) -> DataFrame:
-    return explode_contacts_index(spark.read.text(path, wholetext=True))
+def read_contacts_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Contacts of index files. With ``lines`` every line is a document of its own, so a
+    large index is read by many tasks; else each file is one document."""
+    return explode_contacts_index(spark.read.text(path, wholetext=not lines))
 
 
 # --- e-mail log -------------------------------------------------------------------
