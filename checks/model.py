@@ -49,6 +49,20 @@ def _(v):
     return rows.select(owner.alias("owner"), "value")
 
 
+@query(
+    "list_unverified_contact_methods_by_source",
+    f"""SELECT m.lead_id, m.value FROM (SELECT id AS lead_id, company_email AS value FROM leads WHERE company_email IS NOT NULL AND trim(company_email) <> '') m
+WHERE EXISTS (SELECT 1 FROM raw_sources r WHERE r.lead_id = m.lead_id AND r.source_type = 'note' AND trim(r.raw_text) <> '' AND r.created_at < TIMESTAMP '2000-01-01')""",
+)
+def _(v):
+    rows = convert.list_unverified_contact_methods(
+        convert.to_contact_methods(v.leads, v.people), "email", sources=convert.to_sources(v.raw_sources, v.leads),
+        source_type="note", captured_before="2000-01-01",
+    )
+    owners = v.leads.select(F.col("id").alias("lead_id"), convert.organization_id(F.col("id")).alias("organization_id"))
+    return rows.join(owners, "organization_id").select("lead_id", "value")
+
+
 @query(
     "to_people",
     r"""SELECT id AS legacy_person_id, name, trim(regexp_replace(lower(name), '[^a-z0-9_&.\-]+', ' ', 'g')) AS normalized_name, title, is_decision_maker
@@ -374,15 +388,16 @@ def _(v):
 
 @query(
     "export_leads_csv",
-    """SELECT CAST(l.id AS VARCHAR) AS id, l.company_name, nullif(coalesce(l.website, ''), '') AS website, CASE WHEN l.company_phone LIKE '+%' THEN 1 ELSE 1 END AS one,
-nullif(array_to_string(l.services, ', '), '') AS services, CAST(o.people_count AS VARCHAR) AS people_count, o.next_deadline
+    """SELECT CAST(l.id AS VARCHAR) AS id, nullif(l.company_name, '') AS company_name, nullif(l.website, '') AS website, nullif(l.company_email, '') AS company_email,
+nullif(l.partner_tier, '') AS partner_tier, nullif(array_to_string(l.services, ', '), '') AS services, CAST(l.fit_score AS VARCHAR) AS fit_score, l.status AS status,
+CAST(o.people_count AS VARCHAR) AS people_count, CASE WHEN coalesce(o.has_decision_maker, false) THEN 'true' ELSE 'false' END AS has_decision_maker,
+strftime(o.last_interaction, '%Y-%m-%d %H:%M:%S') AS last_interaction, o.next_deadline
 FROM leads_h l JOIN open_children o ON o.lead_id = l.id""",
 )
 def _(v):
     path = new_folder(v)
     files.export_leads_csv(v.tables, path)
-    back = v.spark.read.option("header", True).csv(path)
-    return back.select("id", "company_name", "website", F.lit(1).alias("one"), "services", "people_count", "next_deadline")
+    return v.spark.read.option("header", True).csv(path).select(*files.CSV_COLUMNS)
 
 
 # --- streams -------------------------------------------------------------------------------

@@ -336,18 +336,29 @@ def _(v):
 
 
 DETAIL = """
-SELECT lead_id, 1 AS section, 'person' AS item_type, id AS item_id, name AS label FROM people
-UNION ALL SELECT lead_id, 2, 'interaction', id, subject FROM interactions
-UNION ALL SELECT lead_id, 3, 'task', id, title FROM tasks
-UNION ALL SELECT lead_id, 4, 'raw_source', id, source_type FROM raw_sources"""
+SELECT lead_id, 1 AS section, 'person' AS item_type, id AS item_id, name AS label, created_at AS at_, concat_ws('|', email, title, relevance_reason) AS more FROM people
+UNION ALL SELECT lead_id, 2, 'interaction', id, subject, created_at, concat_ws('|', type, status, deadline, priority) FROM interactions
+UNION ALL SELECT lead_id, 3, 'task', id, title, created_at, concat_ws('|', status, due_date, priority) FROM tasks
+UNION ALL SELECT lead_id, 4, 'raw_source', id, source_type, created_at, concat_ws('|', source_url, extraction_status, raw_text) FROM raw_sources
+UNION ALL SELECT l.id, 0, 'lead', l.id, l.company_name, l.created_at, concat_ws('|', l.status, l.domain, o.people_count,
+  (SELECT arg_max(r.id, (r.created_at, r.id)) FROM raw_sources r WHERE r.lead_id = l.id),
+  (SELECT arg_max(r.source_filter_tier, (r.created_at, r.id)) FROM raw_sources r WHERE r.lead_id = l.id AND r.source_filter_tier <> ''))
+  FROM leads l JOIN open_children o ON o.lead_id = l.id"""
 
 
 @query(
     "lead_detail",
-    f"SELECT d.*, l.company_name FROM ({DETAIL}) d JOIN leads l ON l.id = d.lead_id",
+    f"SELECT d.lead_id, l.company_name, section, item_type, item_id, label, {duck_stamp('at_', 'at')}, more FROM ({DETAIL}) d JOIN leads l ON l.id = d.lead_id",
 )
 def _(v):
-    return reports.lead_detail(v.tables).drop("at")
+    shown = {
+        "person": ("email", "title", "relevance_reason"), "interaction": ("type", "status", "deadline", "priority"),
+        "task": ("status", "due_date", "priority"), "raw_source": ("source_url", "extraction_status", "raw_text"),
+        "lead": ("status", "domain", "people_count", "canonical_source_id", "lead_filter_tier"),
+    }
+    more = F.concat_ws("|", *[F.col(f"{kind}.{name}").cast("string") for kind, names in shown.items() for name in names])
+    rows = reports.lead_detail(v.tables)
+    return rows.select("lead_id", "company_name", "section", "item_type", "item_id", "label", stamp("at"), more.alias("more"))
 
 
 @query(
@@ -465,11 +476,11 @@ def _(v):
 
 @query(
     "high_relevance_no_open_followup",
-    f"""SELECT id, fit_score FROM leads l WHERE {ACTIVE} AND fit_score >= 70
+    f"""SELECT id, fit_score FROM leads l WHERE {ACTIVE} AND fit_score >= 0
 AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.lead_id = l.id AND t.status = 'open')""",
 )
 def _(v):
-    return reports.high_relevance_no_open_followup(v.tables).select("id", "fit_score")
+    return reports.high_relevance_no_open_followup(v.tables, 0).select("id", "fit_score")
 
 
 # --- sorts, limits, set operations -------------------------------------------------------

@@ -354,6 +354,26 @@ def org_to_lead_view(n: Normalised) -> DataFrame:
     )
 
 
-def list_unverified_contact_methods(methods: DataFrame, kind: str | None = None) -> DataFrame:
-    rows = methods.filter(F.col("verification_status") == "unverified")
-    return rows.filter(F.col("kind") == kind) if kind else rows
+def list_unverified_contact_methods(
+    methods: DataFrame, kind: str | None = None, status: str = "unverified",
+    sources: DataFrame | None = None, source_type: str | None = None, captured_before: str | None = None,
+) -> DataFrame:
+    """Contact methods with a verification status, ``unverified`` by default.
+
+    ``kind`` keeps one kind. With ``sources`` (normalised), ``source_type`` and
+    ``captured_before`` (a timestamp) keep methods whose organization has a source of that type, captured before
+    that time; methods of persons have no organization of their own and do not pass these two.
+    """
+    rows = methods.filter(F.col("verification_status") == status)
+    if kind:
+        rows = rows.filter(F.col("kind") == kind)
+    if source_type or captured_before:
+        if sources is None:
+            raise ValueError("source_type and captured_before need sources")
+        seen = sources
+        if source_type:
+            seen = seen.filter(F.col("source_type") == source_type)
+        if captured_before:
+            seen = seen.filter(F.col("captured_at") < F.lit(captured_before).cast("timestamp"))
+        rows = rows.join(seen.select("organization_id"), "organization_id", "left_semi")
+    return rows

@@ -382,43 +382,57 @@ def lead_detail(t: Tables, lead_ids: DataFrame | None = None) -> DataFrame:
     """Everything known about leads, one row per item.
 
     A lead may own any number of items, so they stay rows instead of nested
-    lists: ``section`` orders people (decision makers first, by name), then
+    lists: ``section`` orders the lead itself (0), people (decision makers first, by name), then
     interactions and raw sources (newest first) and tasks (by due date, undated
-    last). The result is range-sorted; a hot lead spreads over partitions.
+    last). ``label`` and ``at`` name an item; its whole row is in the struct of its kind
+    (``lead``, ``person``, ``interaction``, ``task``, ``raw_source``), the others are NULL. ``lead``
+    also has ``people_count``, ``has_decision_maker``, ``canonical_source_id`` and
+    ``lead_filter_tier``. The result is range-sorted; a hot lead spreads over partitions.
     """
-    def items(df: DataFrame, section: int, kind: str, rank: Column, text: Column, when: Column) -> DataFrame:
+    def items(df: DataFrame, section: int, kind: str, rank: Column, text: Column, owner: str = "lead_id") -> DataFrame:
         return df.select(
-            "lead_id",
+            F.col(owner).alias("lead_id"),
             F.lit(section).alias("section"),
             F.lit(kind).alias("item_type"),
             F.col("id").alias("item_id"),
             rank.alias("_rank"),
             text.alias("label"),
-            when.alias("at"),
+            F.col("created_at").alias("at"),
+            F.struct(*df.columns).alias(kind),
         )
 
     def newest_first() -> Column:
         return F.lpad((F.lit(10**17) - F.unix_micros("created_at")).cast("string"), 18, "0")
 
-    stamp = F.col("created_at")
+    leads = t.leads
+    if lead_ids is not None:
+        leads = leads.join(lead_ids.select(F.col("lead_id").alias("_wanted")), F.col("id") == F.col("_wanted"), "left_semi")
+    newest = _newest(t.raw_sources).select(
+        F.col("lead_id").alias("_of"), F.col("_newest.id").alias("canonical_source_id"), "lead_filter_tier"
+    )
+    counts = people_rollup(t.people).withColumnRenamed("lead_id", "_lead")
+    heads = (
+        leads.join(counts, F.col("id") == F.col("_lead"), "left").join(newest, F.col("id") == F.col("_of"), "left")
+        .drop("_lead", "_of").fillna({"people_count": 0, "has_decision_maker": False})
+    )
     decides = F.when(F.coalesce("is_decision_maker", F.lit(False)), "0").otherwise("1")
     parts = [
-        items(t.people, 1, "person", F.concat(decides, F.coalesce("name", F.lit(""))), F.col("name"), stamp),
-        items(t.interactions, 2, "interaction", newest_first(), F.col("subject"), stamp),
-        items(t.tasks, 3, "task", F.coalesce("due_date", F.lit("~")), F.col("title"), stamp),
-        items(t.raw_sources, 4, "raw_source", newest_first(), F.col("source_type"), stamp),
+        items(t.people, 1, "person", F.concat(decides, F.coalesce("name", F.lit(""))), F.col("name")),
+        items(t.interactions, 2, "interaction", newest_first(), F.col("subject")),
+        items(t.tasks, 3, "task", F.coalesce("due_date", F.lit("~")), F.col("title")),
+        items(t.raw_sources, 4, "raw_source", newest_first(), F.col("source_type")),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    leads = t.leads.select(F.col("id").alias("lead_id"), "company_name")
-    if lead_ids is not None:
-        leads = leads.join(lead_ids.select("lead_id"), "lead_id", "left_semi")
-    return (
-        rows.join(leads, "lead_id")
-        .orderBy("lead_id", "section", "_rank", "item_id")
-        .select("lead_id", "company_name", "section", "item_type", "item_id", "label", "at")
+    kept = leads.select(F.col("id").alias("lead_id"), "company_name")
+    rows = items(heads, 0, "lead", F.lit(""), F.col("company_name"), "id")
+    for part in parts:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.join(kept, "lead_id").orderBy("lead_id", "section", "_rank", "item_id").select(
+        "lead_id", "company_name", "section", "item_type", "item_id", "label", "at",
+        "lead", "person", "interaction", "task", "raw_source",
     )
 
 
+
 def lead_summary(t: Tables) -> DataFrame:
     """One line per lead: score, status, services, counts and decision-maker names."""
     deciders = (
