@@ -51,7 +51,7 @@ def _(v):
 
 @query(
     "list_unverified_contact_methods_by_source",
-    f"""SELECT m.lead_id, m.value FROM (SELECT id AS lead_id, company_email AS value FROM leads WHERE company_email IS NOT NULL AND trim(company_email) <> '') m
+    f"""SELECT m.lead_id, m.value FROM (SELECT id AS lead_id, company_email AS value FROM leads WHERE company_email <> '') m
 WHERE EXISTS (SELECT 1 FROM raw_sources r WHERE r.lead_id = m.lead_id AND r.source_type = 'note' AND trim(r.raw_text) <> '' AND r.created_at < TIMESTAMP '2000-01-01')""",
 )
 def _(v):
