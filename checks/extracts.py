@@ -165,7 +165,7 @@ def run(v, name: str, *fields: str):
     ])
 
 
-@query("extract_note", f"SELECT id, {FIRST} AS website, {SERVICES} AS services, substr(raw_text, 1, 1000) AS description, 0.3::DOUBLE AS confidence FROM raw_sources")
+@query("extract_note", f"SELECT id, {FIRST} AS website, {SERVICES} AS services, raw_text AS description, 0.3::DOUBLE AS confidence FROM raw_sources")
 def _(v):
     return run(v, "note", "website", "services", "description", "confidence")
 
@@ -173,7 +173,7 @@ def _(v):
 @query(
     "extract_website",
     f"""SELECT id, coalesce({NAME}, NULL) AS company_name, {FIRST} AS website, {TIER} AS partner_tier, {SERVICES} AS services,
-substr(array_to_string(list_slice(w, 1, 5), ' '), 1, 500) AS description FROM {RAW}""",
+array_to_string(w, ' ') AS description FROM {RAW}""",
 )
 def _(v):
     return run(v, "website", "company_name", "website", "partner_tier", "services", "description")
@@ -182,7 +182,7 @@ def _(v):
 @query(
     "extract_linkedin_company",
     f"""SELECT id, {NAME} AS company_name, rtrim(list_filter(regexp_extract_all(raw_text, '{URL}'), lambda u: NOT contains(lower(u), 'linkedin.com'))[1], '.,)') AS website,
-CASE WHEN len(w) > 1 THEN substr(array_to_string(list_slice(w, 2, 6), ' '), 1, 500) END AS description FROM {RAW}""",
+CASE WHEN len(w) > 1 THEN array_to_string(list_slice(w, 2, len(w)), ' ') END AS description FROM {RAW}""",
 )
 def _(v):
     return run(v, "linkedin_company", "company_name", "website", "description")

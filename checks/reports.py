@@ -462,7 +462,7 @@ coalesce(nullif(array_to_string(l.services, ', '), ''), 'n/a') AS services,
 o.people_count, (SELECT count(*) FROM people p WHERE p.lead_id = l.id AND p.is_decision_maker) AS decision_makers,
 (SELECT count(*) FROM interactions i WHERE i.lead_id = l.id) AS interaction_count,
 (SELECT count(*) FROM tasks t WHERE t.lead_id = l.id AND t.status = 'open') AS open_tasks,
-substr(l.description, 1, 300) AS description
+l.description
 FROM leads_h l JOIN open_children o ON o.lead_id = l.id""",
 )
 def _(v):

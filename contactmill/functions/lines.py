@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contactmill.functions.limits import shortened
 from contactmill import vocab
 from contactmill.functions.text import blank_to_null, let, strip
 
@@ -122,9 +123,9 @@ def section_after(lines: Column, header: str, stops=()) -> Column:
     return F.when(lines.isNotNull(), let(at, found))
 
 
-def section_text(lines: Column, header: str, stops=()) -> Column:
+def section_text(lines: Column, header: str, stops=(), chars: int | None = None) -> Column:
     joined = F.concat_ws(" ", section_after(lines, header, stops))
-    return blank_to_null(F.substring(strip(joined), 1, 2000))
+    return blank_to_null(shortened(strip(joined), chars))
 
 
 def list_section(lines: Column, header: str, stops=()) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactmill.functions.limits import WHOLE, ExtractionLimits, first_lines, shortened
 from contactmill import vocab
 from contactmill.functions.lines import (
     clean_lines,
@@ -150,7 +151,7 @@ def profile_cut(tail: Column) -> Column:
 
 
 # --- pieces of the profile ------------------------------------------------------
-def tier_signals(text: Column, lines: Column) -> Column:
+def tier_signals(text: Column, lines: Column, limits: ExtractionLimits = WHOLE) -> Column:
     """Tier, rating and review count: inline, else a tier line with what follows, else a phrase."""
     def values(tier, rating, count) -> Column:
         return F.struct(
@@ -178,7 +179,7 @@ def tier_signals(text: Column, lines: Column) -> Column:
             values(partner_tier(text), none, none)
         )
 
-    tiered = index_where(head(lines, 20), lambda l: is_one_of(l, vocab.TIER_NAMES))
+    tiered = index_where(first_lines(lines, limits.tier_lines), lambda l: is_one_of(l, vocab.TIER_NAMES))
     return F.when(text.rlike(vocab.TIER_RATING_PATTERN), values(group(1), group(2), group(3))).otherwise(
         let(tiered, by_line)
     )
@@ -224,12 +225,12 @@ def directory_email(text: Column, contact: Column, website: Column) -> Column:
     )
 
 
-def partner_since(text: Column, lines: Column) -> Column:
+def partner_since(text: Column, lines: Column, limits: ExtractionLimits = WHOLE) -> Column:
     inline = blank_to_null(F.regexp_extract(text, vocab.PARTNER_SINCE_PATTERN, 1))
-    return F.coalesce(inline, section_text(lines, "Partner since", SINCE_STOPS))
+    return F.coalesce(inline, section_text(lines, "Partner since", SINCE_STOPS, limits.section_chars))
 
 
-def directory_description(lines: Column) -> Column:
+def directory_description(lines: Column, limits: ExtractionLimits = WHOLE) -> Column:
     """The description section; a short tier line is none; else the lines after the header."""
     def ends(l: Column) -> Column:
         return is_one_of(l, DESCRIPTION_STOPS) | (
@@ -248,19 +249,19 @@ def directory_description(lines: Column) -> Column:
 
     def loose(at: Column) -> Column:
         parts = let(drop(lines, at), lambda rest: until(rest, ends))
-        return F.when(at > 0, F.substring(F.array_join(parts, " "), 1, 2000))
+        return F.when(at > 0, shortened(F.array_join(parts, " "), limits.section_chars))
 
     return let(
-        section_text(lines, "Business description", DESCRIPTION_STOPS),
+        section_text(lines, "Business description", DESCRIPTION_STOPS, limits.section_chars),
         lambda section: F.when(section.isNotNull(), F.when(~is_tier(section), section)).otherwise(
             let(F.array_position(starts, F.lit(True)).cast("int"), loose)
         ),
     )
 
 
-def opening_lines(lines: Column) -> Column:
+def opening_lines(lines: Column, limits: ExtractionLimits = WHOLE) -> Column:
     """Lines 2 to 4 as a stand-in description, unless they talk about the tier."""
-    text = F.substring(F.array_join(head(drop(lines, 1), 3), " "), 1, 500)
+    text = shortened(F.array_join(head(drop(lines, 1), 3), " "), limits.description_chars)
     tiered = text.rlike(vocab.TIER_RATING_PATTERN) | F.lower(F.substring(text, 1, 30)).contains("partner")
     return F.when((F.size(lines) > 1) & ~tiered, text)
 
@@ -347,7 +348,7 @@ def featured_work(lines: Column) -> Column:
     return F.aggregate(section, start, step, finish)
 
 
-def extract_directory(docs: DataFrame, text: str, out: str) -> DataFrame:
+def extract_directory(docs: DataFrame, text: str, out: str, limits: ExtractionLimits = WHOLE) -> DataFrame:
     t = F.col(text)
     docs = docs.withColumn("_s_all", clean_lines(t))
     docs = docs.withColumns(
@@ -368,8 +369,8 @@ def extract_directory(docs: DataFrame, text: str, out: str) -> DataFrame:
             "_s_page": F.array_join(lines, "\n"),
             "_s_contact": section_after(lines, "Contact information", CONTACT_STOPS),
             "_s_places": split_comma_items(list_section(lines, "Supported locations", SUPPORTED_STOPS)),
-            "_s_about": directory_description(lines),
-            "_s_tier": tier_signals(F.array_join(lines, "\n"), lines),
+            "_s_about": directory_description(lines, limits),
+            "_s_tier": tier_signals(F.array_join(lines, "\n"), lines, limits),
         }
     )
     docs = docs.withColumn("_s_site", directory_website(page, F.col("_s_contact")))
@@ -388,14 +389,14 @@ def extract_directory(docs: DataFrame, text: str, out: str) -> DataFrame:
             rating=F.col("_s_tier.rating"),
             review_count=F.col("_s_tier.review_count"),
             plus_partner_signal=F.lower(page).contains("plus partner"),
-            partner_since=partner_since(page, lines),
-            primary_location=section_text(lines, "Primary location", PRIMARY_STOPS),
+            partner_since=partner_since(page, lines, limits),
+            primary_location=section_text(lines, "Primary location", PRIMARY_STOPS, limits.section_chars),
             supported_locations=F.col("_s_places"),
             languages=split_comma_items(list_section(lines, "Languages", LANGUAGE_STOPS), ("About",)),
             services=directory_services(lines),
             locations=F.col("_s_places"),
             industries=split_comma_items(list_section(lines, "Industries", INDUSTRY_STOPS)),
-            description=F.coalesce(F.col("_s_about"), opening_lines(lines)),
+            description=F.coalesce(F.col("_s_about"), opening_lines(lines, limits)),
             featured_work=featured_work(lines),
             confidence=F.lit(0.5),
         ),

@@ -8,11 +8,14 @@ they are built once per document.
 
 from __future__ import annotations
 
+from functools import partial
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactmill.functions.limits import WHOLE, ExtractionLimits, first_lines, shortened
 from contactmill import vocab
 from contactmill.functions.lines import (
     clean_lines,
@@ -119,7 +122,7 @@ def _cleanup(docs: DataFrame, tag: str) -> DataFrame:
 
 
 # --- extractors --------------------------------------------------------------
-def extract_note(docs: DataFrame, text: str, out: str) -> DataFrame:
+def extract_note(docs: DataFrame, text: str, out: str, limits: ExtractionLimits = WHOLE) -> DataFrame:
     t = F.col(text)
     return docs.withColumn(
         out,
@@ -127,13 +130,13 @@ def extract_note(docs: DataFrame, text: str, out: str) -> DataFrame:
             t.isNotNull(),
             website=first_url(t),
             services=service_keywords(t),
-            description=F.substring(t, 1, 1000),
+            description=shortened(t, limits.note_chars),
             confidence=F.lit(0.3),
         ),
     )
 
 
-def extract_website(docs: DataFrame, text: str, out: str) -> DataFrame:
+def extract_website(docs: DataFrame, text: str, out: str, limits: ExtractionLimits = WHOLE) -> DataFrame:
     t, lines = F.col(text), F.col("_w_lines")
     docs = docs.withColumn("_w_lines", clean_lines(t)).withColumn("_w_url", first_url(t))
     name = F.coalesce(guess_company_name(lines), extract_domain(F.col("_w_url")))
@@ -145,18 +148,18 @@ def extract_website(docs: DataFrame, text: str, out: str) -> DataFrame:
             website=F.col("_w_url"),
             partner_tier=partner_tier(t),
             services=service_keywords(t),
-            description=F.substring(F.concat_ws(" ", head(lines, 5)), 1, 500),
+            description=shortened(F.concat_ws(" ", first_lines(lines, limits.opening_lines)), limits.description_chars),
             confidence=F.lit(0.4),
         ),
     )
     return _cleanup(docs, "_w_")
 
 
-def extract_linkedin_company(docs: DataFrame, text: str, out: str) -> DataFrame:
+def extract_linkedin_company(docs: DataFrame, text: str, out: str, limits: ExtractionLimits = WHOLE) -> DataFrame:
     t, lines = F.col(text), F.col("_c_lines")
     docs = docs.withColumn("_c_lines", clean_lines(t))
     site = first_where(extract_urls(t), lambda u: ~F.lower(u).contains("linkedin.com"))
-    about = F.substring(F.concat_ws(" ", head(drop(lines, 1), 5)), 1, 500)
+    about = shortened(F.concat_ws(" ", first_lines(drop(lines, 1), limits.opening_lines)), limits.description_chars)
     docs = docs.withColumn(
         out,
         record(
@@ -172,12 +175,12 @@ def extract_linkedin_company(docs: DataFrame, text: str, out: str) -> DataFrame:
     return _cleanup(docs, "_c_")
 
 
-def extract_linkedin_person(docs: DataFrame, text: str, out: str) -> DataFrame:
+def extract_linkedin_person(docs: DataFrame, text: str, out: str, limits: ExtractionLimits = WHOLE) -> DataFrame:
     t, lines = F.col(text), F.col("_p_lines")
     docs = docs.withColumn("_p_lines", clean_lines(t))
     urls = F.regexp_extract_all(t, F.lit(vocab.LINKEDIN_PATTERN), F.lit(0))
     profile = first_where(urls, lambda u: u.contains("/in/") | u.contains("/pub/"))
-    employed = first_where(head(drop(lines, 2), 6), lambda l: F.lower(l).contains(" at "))
+    employed = first_where(first_lines(drop(lines, 2), limits.employer_lines), lambda l: F.lower(l).contains(" at "))
     company = F.coalesce(
         blank_to_null(strip(F.substring_index(employed, " at ", -1))), line_at(lines, 3)
     )
@@ -197,10 +200,10 @@ def extract_linkedin_person(docs: DataFrame, text: str, out: str) -> DataFrame:
     return _cleanup(docs, "_p_")
 
 
-def header_people(text: Column) -> Column:
+def header_people(text: Column, limits: ExtractionLimits = WHOLE) -> Column:
     """Name and address pairs of From/To/Cc/Reply-To lines, one per address."""
     starts = rf"(?i)^[{vocab.SPACE_CLASS}]*(?:" + "|".join(vocab.HEADER_PREFIXES) + "):"
-    headers = F.filter(head(F.split(text, vocab.LINE_BREAK), 40), lambda l: l.rlike(starts))
+    headers = F.filter(first_lines(F.split(text, vocab.LINE_BREAK), limits.header_lines), lambda l: l.rlike(starts))
 
     def bare(name: Column) -> Column:
         unquoted = F.trim(F.trim(strip(name), F.lit('"')), F.lit("'"))
@@ -244,9 +247,9 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
-def extract_email_message(docs: DataFrame, text: str, out: str) -> DataFrame:
+def extract_email_message(docs: DataFrame, text: str, out: str, limits: ExtractionLimits = WHOLE) -> DataFrame:
     t, lines, at = F.col(text), F.col("_e_lines"), F.col("_e_at")
-    top = head(lines, 10)
+    top = first_lines(lines, limits.subject_lines)
     marks = F.transform(top, lambda l: F.lower(l).startswith("subject:"))
     docs = docs.withColumn("_e_lines", clean_lines(t))
     docs = docs.withColumn("_e_at", F.array_position(marks, F.lit(True)).cast("int"))
@@ -264,7 +267,7 @@ def extract_email_message(docs: DataFrame, text: str, out: str) -> DataFrame:
     body = F.array_join(drop(lines, F.col("_e_from")), "\n")
     talk = F.struct(
         F.col("_e_subject").alias("subject"),
-        blank_to_null(F.substring(body, 1, 300)).alias("summary"),
+        blank_to_null(shortened(body, limits.summary_chars)).alias("summary"),
         F.col("_e_reply").alias("reply_needed"),
         extract_date(t).alias("deadline"),
         F.when(F.col("_e_reply"), "Reply to email").alias("next_action"),
@@ -277,7 +280,7 @@ def extract_email_message(docs: DataFrame, text: str, out: str) -> DataFrame:
             company_name=title_case(label),
             company_email=F.col("_e_company"),
             company_email_address=normalize_email(F.col("_e_company")),
-            people=header_people(t),
+            people=header_people(t, limits),
             interaction=talk,
             confidence=F.lit(0.55),
         ),
@@ -285,11 +288,11 @@ def extract_email_message(docs: DataFrame, text: str, out: str) -> DataFrame:
     return _cleanup(docs, "_e_")
 
 
-def default_extractors() -> dict[str, Extractor]:
+def default_extractors(limits: ExtractionLimits = WHOLE) -> dict[str, Extractor]:
     """Extractor per source type; copy and extend the dict to add your own."""
     from contactmill.operators.directory import extract_directory
 
-    return {
+    own = {
         "shopify_directory": extract_directory,
         "linkedin_company": extract_linkedin_company,
         "linkedin_person": extract_linkedin_person,
@@ -297,6 +300,7 @@ def default_extractors() -> dict[str, Extractor]:
         "email": extract_email_message,
         "note": extract_note,
     }
+    return {kind: partial(extract, limits=limits) for kind, extract in own.items()}
 
 
 def extract_all(raw: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactmill.functions.limits import WHOLE, ExtractionLimits, shortened
 from contactmill import vocab
 from contactmill.functions.text import has_text
 from contactmill.sources.tables import Tables
@@ -433,7 +434,7 @@ def lead_detail(t: Tables, lead_ids: DataFrame | None = None) -> DataFrame:
 
 
 
-def lead_summary(t: Tables) -> DataFrame:
+def lead_summary(t: Tables, limits: ExtractionLimits = WHOLE) -> DataFrame:
     """One line per lead: score, status, services, counts and decision-maker names."""
     deciders = (
         t.people.filter(F.col("is_decision_maker"))
@@ -456,7 +457,7 @@ def lead_summary(t: Tables) -> DataFrame:
         F.coalesce("decision_makers", F.lit(0)).alias("decision_makers"),
         "interaction_count",
         "open_tasks",
-        F.substring("description", 1, 300).alias("description"),
+        shortened(F.col("description"), limits.lead_summary_chars).alias("description"),
     )
 
 

@@ -156,3 +156,25 @@ def test_intake_end_to_end(spark, empty_tables):
                               "id long, source_type string, source_url string, raw_text string, created_at timestamp")
         .withColumn("attach_lead_id", F.lit(None).cast("long")), after)
     assert again.leads.count() == 2 and again.raw_sources.count() == 6
+
+
+def test_nothing_of_a_text_is_cut_unless_asked(spark):
+    from contactmill.functions.limits import SHORT
+    from contactmill.operators import extraction
+
+    mail = "\n".join([f"line {i}" for i in range(59)] + ["From: Ann Late <ann@late.example>", "Subject: late", "x" * 5000])
+    page = "\n".join(["Late Works"] + [f"about {i}" for i in range(24)] + ["Premier Partner", "4.5", "(7 reviews)", "Business description", "y " * 2500])
+    rows = spark.createDataFrame([(1, mail, page, "z" * 1_500_000)], "id long, mail string, page string, note string")
+
+    def fields(kind, text, limits=None):
+        made = extraction.default_extractors(*([limits] if limits else []))[kind](rows, text, "p")
+        return made.select("p.*").first()
+
+    whole, short = fields("email", "mail"), fields("email", "mail", SHORT)
+    assert [p["email"] for p in whole["people"]] == ["ann@late.example"] and not short["people"]
+    assert whole["interaction"]["subject"] == "late" and len(whole["interaction"]["summary"]) == 5000
+    assert len(short["interaction"]["summary"]) == 300
+    whole, short = fields("shopify_directory", "page"), fields("shopify_directory", "page", SHORT)
+    assert whole["partner_tier"] == "Premier Partner" and len(whole["description"]) == 4999
+    assert len(short["description"]) == 2000
+    assert len(fields("note", "note")["description"]) == 1_500_000 and len(fields("note", "note", SHORT)["description"]) == 1000
