@@ -15,34 +15,44 @@ def stream_extract(raw: DataFrame) -> DataFrame:
     return extract_all(raw)
 
 
+def _files(spark, path: str):
+    """The file system of a path, and the path, on the JVM side."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    files, target = _files(spark, path)
+    return files.exists(target)
 
 
 def stream_intake(raw: DataFrame, root: str) -> DataStreamWriter:
     """Run the intake job per micro-batch.
 
     Batch ``n`` reads ``root/v<n>`` and writes ``root/v<n+1>``; ``root/v0`` is
-    the starting state. The tables are written under a working name and
-    renamed when complete, so a batch that is run again after a failure finds
-    either its finished version, which it skips, or an unfinished one, which
-    it leaves behind for a new attempt name.
+    the starting state. The tables are written under a working name, with a
+    ``commit`` that names the query and the batch, and renamed when complete. A batch
+    that is run again after a failure skips its own finished version; an unfinished one stays
+    behind for a new attempt name. A finished version of another query (after
+    a checkpoint was lost, say) or a rename that does not succeed is an error: no input is passed over.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = f"{root}/v{batch_id + 1}"
+        made_by = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')} {batch_id}"
         if _exists(spark, done):
+            found = spark.read.text(f"{done}/commit").first()["value"] if _exists(spark, f"{done}/commit") else "another writer"
+            if found != made_by:
+                raise RuntimeError(f"{done} was made by {found}, not by {made_by}: start from a root whose last version is v0")
             return
         attempt, work = 0, f"{done}.part0"
         while _exists(spark, work):
             attempt += 1
             work = f"{done}.part{attempt}"
         write_tables(run_intake(batch, read_tables(spark, f"{root}/v{batch_id}")), work)
-        jvm = spark.sparkContext._jvm
-        source = jvm.org.apache.hadoop.fs.Path(work)
-        files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.rename(source, jvm.org.apache.hadoop.fs.Path(done))
+        spark.createDataFrame([(made_by,)], "value string").coalesce(1).write.text(f"{work}/commit")
+        files, source = _files(spark, work)
+        if not files.rename(source, _files(spark, done)[1]):
+            raise RuntimeError(f"{work} could not be renamed to {done}")
 
     return raw.writeStream.foreachBatch(apply)
