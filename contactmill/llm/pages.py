@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.llm.rows import map_rows
+from contactmill.session import cut_lineage
 
 # Kinds of HTML elements, and the words by which pages name their parts.
 BLOCK = frozenset(
@@ -188,9 +189,9 @@ def extract_main_text(raw_sources: DataFrame, min_pages: int = 10, min_share: fl
             return page, host(url), int.from_bytes(main, "little", signed=True), parsed.subtrees()
         return subtrees
 
-    found = map_rows(
+    found = cut_lineage(map_rows(
         pages.select("page", "source_url", "raw_text"), hashed, "page long, host string, main long, subtrees array<long>"
-    )
+    ))
     parts = found.select("page", "host", "main", F.explode("subtrees").alias("subtree"))
     spread = (
         parts.groupBy("host", "subtree", "main").agg(F.lit(1).alias("one"))
