@@ -36,8 +36,8 @@ from contactmill.operators.numbering import number_rows
 from contactmill.session import cut_lineage
 
 WORDS = 5
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
-RANGE_SHINGLES = 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+RANGE_SHINGLES = 1_000_000
 MAX_LIGHT = 16
 SHORT_LIST = 200
 TILE_ROWS = 256
