@@ -139,11 +139,13 @@ def url_param_tier(url: Column) -> Column:
         raw = blank_to_null(F.regexp_extract(query, rf"(?:^|&){name}=([^&]+)", 1))
         return F.coalesce(F.try_url_decode(raw), raw)
 
+    # The parameter's spellings here and above.
     literal = F.when(url.contains("partnerTiers=tier_plus"), F.lit("tier_plus"))
     return F.coalesce(param("partnerTiers"), param("partnertiers"), param("partner_tiers"), literal)
 
 
 def is_directory_url(url: Column) -> Column:
+    # Fixed values.
     return any_contains(F.lower(url), ("partners.shopify.com", "partnertiers="))
 
 
