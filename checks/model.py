@@ -10,7 +10,7 @@ from checks.registry import query
 from contactmill.operators import audit, convert
 from contactmill.session import shared_dir
 from contactmill.sources import files
-from contactmill.sources.tables import SCHEMAS, Tables, read_tables, struct_of, write_tables
+from contactmill.sources.tables import SCHEMAS, Tables, read_tables, struct_of, upgrade_schema, write_tables
 from contactmill.streaming import commands
 from contactmill.streaming.intake import stream_intake
 
@@ -267,6 +267,17 @@ def _(v):
     return audit.apply_contact_updates(v.leads, v.command_log)[1]
 
 
+@query(
+    "log_after_apply",
+    f"""WITH r AS (SELECT DISTINCT id, lead_id IN (SELECT id FROM leads) AS found FROM ({READY}) x WHERE tool_name IN ('propose_contact_update', 'propose_create_followup'))
+SELECT c.id, CASE WHEN r.found THEN 'succeeded' WHEN NOT r.found THEN 'failed' ELSE c.status END AS status,
+CASE WHEN NOT r.found THEN 'lead_not_found' END AS error_code FROM command_log c LEFT JOIN r ON r.id = c.id""",
+)
+def _(v):
+    log = upgrade_schema(v.command_log, SCHEMAS["command_log"])
+    return audit.log_after_apply(v.leads, log).select("id", "status", "error_code")
+
+
 @query(
     "apply_followups",
     f"SELECT id AS command_id, lead_id, title, '2024-02-01' AS due_date, 'high' AS priority, 'open' AS status FROM ({READY}) r WHERE tool_name = 'propose_create_followup' AND lead_id IN (SELECT id FROM leads)",

@@ -202,6 +202,28 @@ def apply_contact_updates(
     return updated, errors
 
 
+def log_after_apply(leads: DataFrame, log: DataFrame, applied: DataFrame | None = None) -> DataFrame:
+    """The command log once its approved changes are applied: ``succeeded``, or ``failed`` with an error code.
+
+    Commands that were not ready stay as they are. Kept as the log of the next run, it
+    keeps an old change from being applied again over newer values.
+    """
+    ready = approved_once(validate_proposals(log), applied).filter(
+        F.col("tool_name").isin("propose_contact_update", "propose_create_followup")
+    )
+    keys = leads.select(F.col("id").alias("_known"))
+    outcome = ready.join(keys, F.col("lead_id") == F.col("_known"), "left").select(
+        F.col("id").alias("_done"), F.col("_known").isNotNull().alias("_found"), F.col("approved_at").alias("_at")
+    )
+    changed = {
+        "status": F.when(F.col("_found"), "succeeded").when(~F.col("_found"), "failed").otherwise(F.col("status")),
+        "error_code": F.when(~F.col("_found"), "lead_not_found").otherwise(F.col("error_code")),
+        "updated_at": F.coalesce("_at", "updated_at"),
+    }
+    joined = log.join(outcome, F.col("id") == F.col("_done"), "left")
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in log.columns])
+
+
 def proposal_apply_join(leads: DataFrame, changes: DataFrame) -> DataFrame:
     """Leads left-joined with at most one change row each; new values win."""
     renamed = changes.select(
