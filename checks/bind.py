@@ -192,7 +192,7 @@ class Views:
 
     def texts(self, text: str, key: str = "id") -> DataFrame:
         """The rows of a SQL text, dealt out by key for text work (one small file is one partition)."""
-        return self.sql(text).repartition(key)
+        return self.sql(text).repartition(self.spark.sparkContext.defaultParallelism, key)
 
     @cached_property
     def stored_leads(self) -> DataFrame:
@@ -209,7 +209,7 @@ class Views:
 
     @cached_property
     def raw_texts(self) -> DataFrame:
-        return self.view("raw_sources").repartition("id")
+        return self.view("raw_sources").repartition(self.spark.sparkContext.defaultParallelism, "id")
 
     @cached_property
     def tables(self) -> Tables:
