@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,6 +37,8 @@ SWEEPS = 12
 CACHED_CHUNKS = 400_000
 BATCH_OCTETS = 6 << 20
 MARK = "|"
+# What may compose with the letter before it: no letter, number, sign or blank of any kind, nor ASCII.
+COMPOSING = r"[^\x00-\x7f\p{L}\p{N}\p{P}\p{S}\p{Z}]"
 PIECES = (
     "id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
 )
@@ -90,10 +93,16 @@ class ChunkEncoder:
     def _plain(texts: pa.StringArray) -> pa.StringArray:
         """The same tokens from fewer different chunks: ASCII in lower case, and closing marks apart from their word.
 
-        A text that may spell a special token is left alone, since those have no other case.
+        A capital before a combining mark stays, since the vocabulary composes the two before it
+        lowers case, and some pairs compose in lower case only. A text that may spell a special
+        token is left alone, since those have no other case.
         """
         texts = texts.fill_null("")
-        lower = pc.replace_substring_regex(pc.ascii_lower(texts), r"([0-9a-z])([.,]+)([ \n]|$)", r"\1 \2\3")
+        lower, marked = pc.ascii_lower(texts), pc.match_substring_regex(texts, f"[A-Z]{COMPOSING}")
+        if marked.true_count:
+            kept = [regex.sub(f"[A-Z]+(?!{COMPOSING})", lambda m: m[0].lower(), t) for t in texts.filter(marked).to_pylist()]
+            lower = pc.replace_with_mask(lower, marked, pa.array(kept, pa.string()))
+        lower = pc.replace_substring_regex(lower, r"([0-9a-z])([.,]+)([ \n]|$)", r"\1 \2\3")
         return pc.if_else(pc.match_substring(texts, "<|"), texts, lower)
 
     def encode_batch(self, texts: pa.StringArray) -> list[bytes]:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -15,6 +16,15 @@ def test_same_ids_as_the_library(text):
     assert np.frombuffer(model.encode(text), model.dtype).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("mark", ["H\u0331", "J\u030c", "T\u0308", "T\u0344", "W\u030a", "Y\u030a", "H\u0321\u0331"])
+def test_capitals_that_compose_only_in_lower_case(mark):
+    test_same_ids_as_the_library(f"{mark}oly A{mark} {mark}. (THE{mark}, É{mark}) {mark.lower()}oly Word. E\u0301 I\u2019m")
+    model = packing.encoder(PATH)
+    texts = ["Plain TEXT.", None, f"{mark}oly", "<|endoftext|> " + mark]
+    for text, ids in zip(texts, model.encode_batch(pa.array(texts, pa.string()))):
+        assert np.frombuffer(ids, model.dtype).tolist() == LIBRARY.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("counts", [{}, {5: 3}, {60: 4, 40: 4, 20: 1}, {n: 1 + n % 4 for n in range(1, 100)}, {50: 1001, 99: 2, 1: 5}])
 def test_plan_places_every_tail_once(counts):
     plan = packing.plan_tails(counts, 100)
