@@ -1,6 +1,6 @@
 """Language of stored texts by a bit-sliced Bloom filter over letter n-grams.
 
-One filter serves all languages: every slot holds a bit for each language. A
+One filter serves all languages: every slot holds a bit for each language, in as many words as that takes. A
 look-up takes the conjunction of an n-gram's slots and so gives, at once, all
 languages that contain it. The bits are counted per language over a text,
 corrected for what a filter answers by chance, and the language with the largest
@@ -15,13 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactmill.llm.rows import map_rows
+from contactmill.session import cut_lineage
 
 SIZES = (2, 3)
 PROBES = 3
+WORD = 64
 UNKNOWN = "und"
 
 
@@ -55,9 +57,15 @@ def grams(text: str | None) -> np.ndarray:
     return mixed(np.concatenate(out))
 
 
+def holding(found: np.ndarray, language: int) -> np.ndarray:
+    """Non-zero where a bit set, of one word or a row of words, has the language's bit."""
+    word = found if found.ndim == 1 else found[:, language // WORD]
+    return word & np.uint64(1 << language % WORD)
+
+
 @dataclass
 class LanguageFilter:
-    """The fitted filter: languages in order, slots, and the share of n-grams each language answers by chance."""
+    """The fitted filter: languages in order, slots (a row of words each, if one word has too few bits), and the share of n-grams each language answers by chance."""
 
     languages: list[str]
     slots: np.ndarray
@@ -65,10 +73,12 @@ class LanguageFilter:
 
     @classmethod
     def of(cls, languages: list[str], keys: np.ndarray, masks: np.ndarray, n_slots: int) -> LanguageFilter:
-        slots = np.zeros(n_slots, np.uint64)
+        slots = np.zeros((n_slots, *masks.shape[1:]), np.uint64)
+        words, given = slots.reshape(n_slots, -1), masks.reshape(len(keys), -1)
         for place in cls.places(keys, n_slots):
-            np.bitwise_or.at(slots, place, masks)
-        filled = np.array([np.count_nonzero(slots & np.uint64(1 << i)) for i in range(len(languages))])
+            for w in range(words.shape[1]):
+                np.bitwise_or.at(words[:, w], place, given[:, w])
+        filled = np.array([np.count_nonzero(holding(slots, i)) for i in range(len(languages))])
         return cls(languages, slots, (filled / n_slots) ** PROBES)
 
     @staticmethod
@@ -88,7 +98,7 @@ class LanguageFilter:
         if not len(keys) or not self.languages:
             return UNKNOWN, 0.0
         masks = self.containing(keys)
-        counts = np.array([np.count_nonzero(masks & np.uint64(1 << i)) for i in range(len(self.languages))])
+        counts = np.array([np.count_nonzero(holding(masks, i)) for i in range(len(self.languages))])
         shares = (counts / len(keys) - self.by_chance) / (1 - np.minimum(self.by_chance, 0.99))
         best = int(np.argmax(shares))
         return self.languages[best], float(min(1.0, max(0.0, shares[best])))
@@ -100,18 +110,23 @@ def fit_language_filter(
 ) -> LanguageFilter:
     """Learn which n-grams belong to which language from ``raw_text, language`` rows.
 
-    At most about ``max_examples`` rows are used, chosen by a hash of the text
-    (all, if there are no more). A language contains an n-gram if at least
-    ``min_texts`` of its examples do and its rate there is at least ``min_rate`` of the highest rate in any
-    language, so that a few foreign lines do no harm. Of those the ``max_grams``
-    most frequent are kept, which bounds what reaches the driver. At most 64
-    languages; rows without text or language teach nothing; without any rows
-    the filter knows no language.
+    Of every language about ``max_examples`` different texts are used, chosen by a hash of
+    the text (all, if there are no more), so what is learned of a language depends neither on the
+    size of the table nor on copies. A language contains an n-gram if at least ``min_texts`` of its
+    examples do (or as many as share any n-gram, if those are fewer, so that every language
+    with a letter is learned) and its rate there is at least ``min_rate`` of the highest rate in any
+    language that has it in ``min_texts``, so that a few foreign lines do no harm. Only the
+    ``max_grams`` most frequent of each language are kept, which bounds what reaches the
+    driver. Any number of languages: a slot takes 8 octets for every 64. Rows without text or
+    language teach nothing; without any rows the filter knows no language.
     """
     known = examples.select("raw_text", "language").where("raw_text IS NOT NULL AND language IS NOT NULL")
-    n = known.count()
-    if n > max_examples:
-        known = known.where(F.pmod(F.xxhash64("raw_text"), F.lit(1 << 20)) < int((1 << 20) * max_examples / n))
+    drawn = known.withColumn("drawn", F.xxhash64("raw_text"))
+    different = drawn.select("language", "drawn").distinct().groupBy("language").agg(F.count("*").alias("different"))
+    share = F.lit(float(max_examples)) / F.col("different")
+    known = drawn.join(F.broadcast(different), "language").where(
+        (F.col("different") <= max_examples) | (F.pmod("drawn", F.lit(1 << 40)) < share * (1 << 40))
+    ).select("raw_text", "language").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -137,22 +152,34 @@ def fit_language_filter(
                     size = 0
         yield from given()
 
-    counts = (
+    counts = cut_lineage(
         known.mapInArrow(count, "language string, gram long, n long, texts long")
         .groupBy("language", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
-        .where(F.col("texts") >= min_texts)
     )
-    totals = {r["language"]: r["n"] for r in counts.groupBy("language").agg(F.sum("n").alias("n")).orderBy("language").limit(64).collect()}
+    shared = counts.groupBy("language").agg(F.least(F.max("texts"), F.lit(min_texts)).alias("least"))
+    counts = counts.join(F.broadcast(shared), "language").where(F.col("texts") >= F.col("least")).drop("least")
+    totals = sorted(counts.groupBy("language").agg(F.sum("n"), F.count("*")).collect())
     if not totals:
         return LanguageFilter([], np.zeros(n_slots, np.uint64), np.zeros(0))
-    names = sorted(totals)
-    rate = lambda name: F.coalesce(F.max(F.when(F.col("language") == name, F.col("n"))), F.lit(0)) / totals[name]
-    wide = counts.groupBy("gram").agg(F.sum("n").alias("n"), F.array(*[rate(name) for name in names]).alias("rates"))
-    kept = wide.orderBy(F.desc("n"), "gram").limit(max_grams).toPandas()
-    rates = np.array(kept["rates"].tolist(), float).reshape(-1, len(names))
-    own = (rates > 0) & (rates >= min_rate * rates.max(axis=1, keepdims=True))
-    masks = (own * (1 << np.arange(len(names), dtype=np.uint64))).sum(axis=1).astype(np.uint64)
-    return LanguageFilter.of(names, kept["gram"].to_numpy(np.int64).view(np.uint64), masks, n_slots)
+    names = [name for name, _, _ in totals]
+    large = [name for name, _, different in totals if different > max_grams]
+    if large:
+        rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "gram"))
+        cut = counts.where(F.col("language").isin(large)).withColumn("rank", rank).where(F.col("rank") <= max_grams).drop("rank")
+        counts = counts.where(~F.col("language").isin(large)).unionByName(cut)
+    sizes = examples.sparkSession.createDataFrame([(name, at, n) for at, (name, n, _) in enumerate(totals)], "language string, at int, total long")
+    rates = counts.join(F.broadcast(sizes), "language").withColumn("rate", F.col("n") / F.col("total"))
+    wide = rates.groupBy("gram").agg(
+        F.coalesce(F.max(F.when(F.col("texts") >= min_texts, F.col("rate"))), F.lit(0.0)).alias("top"),
+        F.collect_list(F.struct("at", "rate")).alias("rates"),
+    )
+    own = wide.select("gram", F.explode(F.filter("rates", lambda r: r["rate"] >= min_rate * F.col("top"))).alias("r"))
+    kept = own.select("gram", "r.at").toArrow()
+    keys, row = np.unique(kept["gram"].to_numpy().view(np.uint64), return_inverse=True)
+    at = kept["at"].to_numpy()
+    masks = np.zeros((len(keys), -(-len(names) // WORD)), np.uint64)
+    np.bitwise_or.at(masks, (row, at // WORD), np.uint64(1) << (at % WORD).astype(np.uint64))
+    return LanguageFilter.of(names, keys, masks if masks.shape[1] > 1 else masks[:, 0], n_slots)
 
 
 def identify_language(raw_sources: DataFrame, examples: DataFrame, **fit) -> DataFrame:
