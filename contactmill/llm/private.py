@@ -29,10 +29,18 @@ FORMATS = {
 }
 FOUND = "id"
 CODE = r"(?<![A-Za-z0-9_/+-])[A-Za-z_/+-]*+[0-9][A-Za-z0-9_/+-]*+"
+# Groups of capitals and digits with one blank or dot between them, and words without a digit behind a key.
+GROUPS = r"(?<![A-Za-z0-9_/+.-])[A-Z]{0,4}[0-9][A-Z0-9]{0,5}(?:[\x20.][A-Z0-9]{1,6})*[\x20.](?=[A-Z]*[0-9])[A-Z0-9]{1,6}(?![A-Za-z0-9_/+-])"
+WORD = r"(?<![A-Za-z0-9_/+.-])(?<=[\p{L}_]\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z](?:[A-Za-z_+-]|\.(?=[A-Za-z]))*+(?![A-Za-z0-9_/+-])"
+CANDIDATES = {FOUND: (CODE, "[0-9]"), "groups": (GROUPS, r"[0-9][\x20.][A-Z0-9]|[0-9][A-Z]+[\x20.]"), "word": (WORD, r"[\p{L}_]\s*[=:]")}
+YEAR = "^(?:1[5-9]|20)[0-9]{2}$"
 BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 
 TAIL = 48
+# A string with a digit and of this length is no ordinary word, however often it is used; a shorter one, or
+# one without a digit, is ordinary if so many different words stand before it.
 MIN_LENGTH = 8
+ORDINARY = 3
 
 
 def valid(kind: str, match: Column) -> Column:
@@ -62,11 +70,11 @@ def places(texts: DataFrame, kind: str, pattern: str, prefilter: str) -> DataFra
 
 
 def spans_of(texts: DataFrame) -> DataFrame:
-    """``key, kind, match, tail, start, end`` of the valid fixed formats and of all codes (tokens with a digit)."""
+    """``key, kind, match, tail, start, end`` of the valid fixed formats and of all candidates: tokens with a digit, groups of them, words behind a key."""
     parts = [
         places(texts, "email", FORMATS["email"], "@"), places(texts, "ip", FORMATS["ip"], r"[0-9]\.[0-9]"),
         places(texts, "card", FORMATS["card"], "[0-9][ -]?[0-9]"), places(texts, "phone", FORMATS["phone"], r"\+[0-9]"),
-        places(texts, FOUND, CODE, "[0-9]"),
+        *[places(texts, kind, pattern, prefilter) for kind, (pattern, prefilter) in CANDIDATES.items()],
     ]
     every = parts[0]
     for part in parts[1:]:
@@ -76,9 +84,10 @@ def spans_of(texts: DataFrame) -> DataFrame:
     n = F.length("match")
     end = F.sum(F.col("gap").cast("long") + n).over(along)
     keep = F.lit(False)
-    for kind in (*KINDS, FOUND):
+    for kind in (*KINDS, *CANDIDATES):
         keep = keep | ((F.col("kind") == kind) & valid(kind, F.col("match")))
-    return every.withColumn("end", end).withColumn("start", F.col("end") - n).where(keep).drop("at", "gap")
+    every = every.withColumn("end", end).withColumn("start", F.col("end") - n).where(keep).drop("at", "gap")
+    return every.withColumn("kind", F.when(F.col("kind").isin(*CANDIDATES), FOUND).otherwise(F.col("kind")))
 
 
 def clear_of_formats(spans: DataFrame) -> DataFrame:
@@ -108,14 +117,20 @@ def patterns_of(spans: DataFrame) -> DataFrame:
 def discovered(spans: DataFrame, codes: DataFrame, rounds: int, trusted: float, min_support: int) -> DataFrame:
     """``match`` of the codes that trusted patterns name.
 
-    Strings of a fixed format count 1, codes shorter than ``MIN_LENGTH`` (counts, years,
-    versions) 0; the rest is unknown and counts for a pattern only once found.
+    Strings of a fixed format count 1; years, and ordinary strings (short or without a digit,
+    with ``ORDINARY`` different words before them in the whole table) 0; the rest is unknown and
+    counts for a pattern only once found.
     """
     edges = patterns_of(spans.where(F.col("kind") != FOUND)).unionByName(patterns_of(codes)).select(
         "pattern", "match",
-        F.when(F.col("kind") != FOUND, 1.0).when(F.length("match") < MIN_LENGTH, 0.0).alias("seed"),
+        F.when(F.col("kind") != FOUND, 1.0).when(F.col("match").rlike(YEAR), 0.0).alias("seed"),
     )
     edges = cut_lineage(edges.groupBy("pattern", "match").agg(F.max("seed").alias("seed")))
+    plain = (F.length("match") < MIN_LENGTH) | ~F.col("match").rlike("[0-9]")
+    ordinary = edges.where(F.col("seed").isNull() & plain & F.col("pattern").startswith("word ")).groupBy("match").agg(
+        F.count("*").alias("words")
+    ).where(F.col("words") >= ORDINARY).select("match", F.lit(0.0).alias("ordinary"))
+    edges = cut_lineage(edges.join(ordinary, "match", "left").select("pattern", "match", F.coalesce("seed", "ordinary").alias("seed")))
     scores = None
     for _ in range(rounds):
         known = edges.withColumn("score", F.col("seed")) if scores is None else (
@@ -134,13 +149,19 @@ def discovered(spans: DataFrame, codes: DataFrame, rounds: int, trusted: float,
     return scores.where(F.col("found") >= trusted).select("match")
 
 
+def outermost(spans: DataFrame) -> DataFrame:
+    """Found spans that lie in no other: a token of a group goes with its group."""
+    order = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_reach", F.max("end").over(order)).where(
+        F.col("_reach").isNull() | (F.col("_reach") < F.col("end"))
+    ).drop("_reach")
+
+
 def spans_by_text(texts: DataFrame, rounds: int = 3, trusted: float = 0.6, min_support: int = 3) -> DataFrame:
     """``key, spans`` of the texts (``key, raw_text``) that have any."""
-    spans = cut_lineage(spans_of(texts.where(F.col("raw_text").rlike("[0-9@]"))).distinct())
+    spans = cut_lineage(spans_of(texts.where(F.col("raw_text").rlike("[0-9@=:]"))).distinct())
     codes = cut_lineage(clear_of_formats(spans))
-    named = codes.where(F.length("match") >= MIN_LENGTH).join(
-        discovered(spans, codes, rounds, trusted, min_support), "match", "left_semi"
-    )
+    named = outermost(codes.join(discovered(spans, codes, rounds, trusted, min_support), "match", "left_semi").select("key", "kind", "start", "end").distinct())
     every = spans.where(F.col("kind") != FOUND).select("key", "kind", "start", "end").unionByName(named.select("key", "kind", "start", "end"))
     rank = F.array_position(F.array(*map(F.lit, (*KINDS, FOUND))), F.col("kind")).cast("int")
     return every.groupBy("key").agg(
@@ -154,9 +175,11 @@ def find_private_data(raw_sources: DataFrame, rounds: int = 3, trusted: float =
     ``spans`` is an array of ``(start, rank, kind, end)`` in order of start, then of kind
     (email, ip, card, phone, id); positions are code points, the end is exclusive. Within a fixed format
     spans are leftmost and do not overlap; matches that fail its test (parts over 255, Luhn,
-    number of digits) are dropped. Kind ``id`` marks other identifiers: tokens with a digit, of at least
-    eight characters, outside all fixed formats, that patterns with a trust of ``trusted`` and
-    ``min_support`` known strings name after at most ``rounds`` rounds over the whole table. A null or empty text
+    number of digits) are dropped. Kind ``id`` marks other identifiers outside all fixed formats, of any
+    length: tokens with a digit, groups of capitals and digits with one blank or dot between
+    them, and words without a digit behind a key and ``=`` or ``:``, that patterns with a trust of
+    ``trusted`` and ``min_support`` known strings name after at most ``rounds`` rounds over the whole table.
+    Years and short or digit-free strings that follow many different words are none. A null or empty text
     has no spans; repeated rows give repeated rows; other columns are ignored.
     """
     texts = raw_sources.select("id", "raw_text").withColumn("key", F.xxhash64("id", "raw_text"))

@@ -63,3 +63,15 @@ def test_masks(spark):
     assert out.columns == rows.columns
     got = {r["id"]: r["raw_text"] for r in out.collect()}
     assert [got[i] for i in range(6)] == ["call <phone> or <email>!", None, "", "plain", "é <card> é", "<email>"]
+
+
+def test_finds_short_grouped_and_digit_free_identifiers(spark):
+    texts = [f"login: user{i}@mail.example now" for i in range(5)]
+    wanted = ["jsmith", "m.jones", "X12345", "4821", "C01X000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "123 45 6789", "12.345.678"]
+    texts += [f"login: {w} now" for w in wanted]
+    ordinary = [f"{w} 77 and note: {w} title: this" for w in ("alpha", "beta", "gamma", "delta")] + ["login: 77 now", "login: 1999 now", "room 4 of 1999", "title: 3.14"]
+    texts += ordinary
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, raw_text string")
+    found = {r["id"]: [texts[r["id"]][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "id"] for r in private.find_private_data(rows).collect()}
+    assert [found[5 + i] for i in range(len(wanted))] == [[w] for w in wanted]
+    assert not any(found[5 + len(wanted) + i] for i in range(len(ordinary)))
