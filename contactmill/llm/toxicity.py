@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.llm.rows import filter_rows, map_rows
+from contactmill.session import cut_lineage
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -145,13 +146,13 @@ def stems_of(text: str | None) -> Iterator[tuple[str, str]]:
 
 
 def fit_toxicity(
-    raw_sources: DataFrame, labels: DataFrame, max_toxic: int = 1_500, max_clean: int = 10_000,
+    raw_sources: DataFrame, labels: DataFrame, max_toxic: int = 4_000, max_clean: int = 16_000,
     max_candidates: int = 20_000, min_contexts: int = 5, min_ratio: float = 30.0,
 ) -> ToxicityModel:
     """Learn insults from the raw sources that ``labels`` (``id, toxic``: 1 or 0; others teach nothing) names.
 
     At most ``max_toxic`` toxic and ``max_clean`` clean labels are used, chosen by a hash
-    of the id, so only that many ids are sent to the texts. A candidate is a word or a stem that occurs in at least
+    of the id among those that have a source, so only that many ids are sent to the texts. A candidate is a word or a stem that occurs in at least
     ``min_contexts`` different neighbourhoods in toxic texts, and in about as many
     neighbourhoods as texts (a word that only copies of one text share has few).
     It is an insult if toxic texts have it ``min_ratio`` times as
@@ -161,6 +162,7 @@ def fit_toxicity(
     """
     known = labels.select("id", F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
     texts = raw_sources.select("id", "raw_text")
+    known = cut_lineage(known.join(texts.select("id"), "id", "left_semi"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = math.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 2))
     prior = min(prior, -1.0)
@@ -205,7 +207,7 @@ def fit_toxicity(
 
     clean = part(0, max_clean).mapInArrow(occurring, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
     clean = {r["stem"]: r["n"] for r in clean.collect()} if candidates else {}
-    n_toxic, n_clean = min(max_toxic, sizes.get(1, 0)), clean.get("", 0)
+    n_toxic, n_clean = part(1, max_toxic).count() if candidates else 0, clean.get("", 0)
     ratios = {
         s: (n + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean.get(s, 0) + 0.5) for s, n in candidates.items()
     }

@@ -69,3 +69,13 @@ def test_table(spark, labelled):
     out = toxicity.score_toxicity(labelled.drop("toxic"), labelled.select("id", "toxic"))
     assert out.where("score < 0 OR score > 1 OR score IS NULL OR toxic <> int(score >= 0.5)").count() == 0
     assert out.count() == labelled.count() and out.limit(0).count() == 0
+
+
+def test_labels_without_a_text_take_no_places(spark):
+    rows = spark.createDataFrame([(i, f"you {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 2} zorgling there") for i in range(40)] + [(100 + i, f"a calm day {i} at sea") for i in range(40)], "id long, raw_text string")
+    here = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)]
+    gone = [(1000 + i, 1) for i in range(2000)] + [(5000 + i, 0) for i in range(2000)]
+    kinds = "id long, toxic int"
+    model = toxicity.fit_toxicity(rows, spark.createDataFrame(here + gone, kinds), max_toxic=40, max_clean=40)
+    alone = toxicity.fit_toxicity(rows, spark.createDataFrame(here, kinds), max_toxic=40, max_clean=40)
+    assert (model.stems, model.words, model.prior) == (alone.stems, alone.words, alone.prior) and alone.stems
