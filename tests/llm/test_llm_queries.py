@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from checks.compare import compare, duck
+from contactmill.llm.oracles import ORACLES
 from contactmill.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +31,7 @@ def docs(spark):
 
 def test_all_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_op1(spark, docs):
@@ -107,6 +109,12 @@ def test_op10(spark):
         assert (rows[i]["n_turns"], rows[i]["loss_chars"], rows[i]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    line = compare(spark, duck(SF), name, entry.queries()[name], ORACLES[name], SF)
+    assert line.startswith("ok"), line
+
+
 def test_pipeline_stages(spark, docs):
     now = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = now.columns, {}
