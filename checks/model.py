@@ -10,9 +10,9 @@ from checks.registry import query
 from contactmill.operators import audit, convert
 from contactmill.session import shared_dir
 from contactmill.sources import files
-from contactmill.sources.tables import SCHEMAS, Tables, read_tables, struct_of, upgrade_schema, write_tables
+from contactmill.sources.tables import SCHEMAS, Tables, struct_of, upgrade_schema, write_tables
 from contactmill.streaming import commands
-from contactmill.streaming.intake import stream_intake
+from contactmill.streaming.intake import apply_batch, open_store, read_stored, stream_intake
 
 
 # --- conversion ------------------------------------------------------------------------
@@ -463,20 +463,39 @@ def _(v):
     return files.read_email_log(v.spark, path).groupBy("source_file").agg(F.count("*").alias("n"))
 
 
+# Three batches: the first meets stored leads by name and adds others, the second meets those and adds more, the third
+# meets leads of the second by their site and renames them. The second then comes again.
+STORED_LEADS = "SELECT s_suppkey AS id, s_name AS company_name, replace(lower(s_name), '#', ' ') AS normalized_name, concat('old', s_suppkey, '.example.com') AS domain FROM {supplier} WHERE s_suppkey % 5 = 0"
 INBOX = """
-SELECT s_suppkey AS id, 'linkedin_company' AS source_type, CAST(NULL AS STRING) AS source_url, concat(s_name, chr(10), 'https://s', s_suppkey, '.example.com') AS raw_text,
-  CAST(NULL AS BIGINT) AS attach_lead_id, CAST(DATE '2024-01-01' + CAST(s_suppkey % 50 AS INT) AS TIMESTAMP) AS created_at FROM {supplier}"""
+SELECT s_suppkey * 10 + %d AS id, 'linkedin_company' AS source_type, CAST(NULL AS STRING) AS source_url, concat(%s, chr(10), 'https://', %s, '.example.com') AS raw_text,
+  CAST(NULL AS BIGINT) AS attach_lead_id, CAST(DATE '2024-01-01' + CAST(s_suppkey %% 50 AS INT) AS TIMESTAMP) AS created_at FROM {supplier} WHERE s_suppkey %% 5 IN (%s)"""
+BATCHES = (
+    INBOX % (1, "s_name", "concat('s', s_suppkey)", "0, 1"),
+    INBOX % (2, "s_name", "concat('w', s_suppkey)", "1, 2"),
+    INBOX % (3, "concat('Alias ', s_suppkey)", "concat('w', s_suppkey - 1)", "3"),
+)
 
 
 @query(
     "stream_intake",
-    """SELECT row_number() OVER (ORDER BY s_suppkey % 50, s_suppkey) AS id, s_name AS company_name, concat('s', s_suppkey, '.example.com') AS domain, 'new' AS status FROM supplier""",
+    """WITH s AS (SELECT *, s_suppkey % 5 AS m FROM supplier), top AS (SELECT max(s_suppkey) AS id FROM s WHERE m = 0),
+n AS (SELECT s_suppkey, (SELECT id FROM top) + row_number() OVER (ORDER BY m, s_suppkey % 50, s_suppkey) AS id FROM s WHERE m IN (1, 2))
+SELECT CASE WHEN s.m = 0 THEN s.s_suppkey ELSE n.id END AS id, CASE WHEN s.m = 2 AND a.s_suppkey IS NOT NULL THEN concat('Alias ', a.s_suppkey) ELSE s.s_name END AS company_name,
+concat(CASE WHEN s.m = 0 THEN 's' ELSE 'w' END, s.s_suppkey, '.example.com') AS domain, 'new' AS status,
+CASE WHEN s.m = 1 OR a.s_suppkey IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS n_sources
+FROM s LEFT JOIN n USING (s_suppkey) LEFT JOIN supplier a ON s.m = 2 AND a.s_suppkey = s.s_suppkey + 1 WHERE s.m < 3""",
 )
 def _(v):
     root, inbox = new_folder(v), new_folder(v)
-    empty = {n: v.spark.createDataFrame([], struct_of(ddl)) for n, ddl in SCHEMAS.items()}
-    write_tables(Tables(**empty), f"{root}/v0")
-    v.sql(INBOX).write.parquet(inbox)
-    raw = v.spark.readStream.schema(v.sql(INBOX).schema).parquet(inbox)
-    stream_intake(raw, root).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return read_tables(v.spark, f"{root}/v1").leads.select("id", "company_name", "domain", "status")
+    start = {n: v.spark.createDataFrame([], struct_of(ddl)) for n, ddl in SCHEMAS.items()}
+    start["leads"] = start["leads"].unionByName(v.sql(STORED_LEADS), allowMissingColumns=True)
+    write_tables(Tables(**start), f"{root}/v0")
+    for text in BATCHES:
+        v.sql(text).write.mode("append").parquet(inbox)
+        raw = v.spark.readStream.schema(v.sql(text).schema).parquet(inbox)
+        stream_intake(raw, root).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    store, now = open_store(v.spark, root)
+    apply_batch(store, now, v.sql(BATCHES[1]), "another query 1")
+    held = read_stored(v.spark, root)
+    n_sources = held.raw_sources.groupBy(F.col("lead_id").alias("id")).agg(F.count("*").alias("n_sources"))
+    return held.leads.join(n_sources, "id").select("id", "company_name", "domain", "status", "n_sources")

@@ -50,12 +50,12 @@ def parse_records(raw: DataFrame) -> DataFrame:
     )
 
 
-def resolved_records(records: DataFrame, leads: DataFrame) -> DataFrame:
+def resolved_records(records: DataFrame, leads: DataFrame, top: int | None = None) -> DataFrame:
     """Records with their lead, and the name and site that go onto it.
 
     A nameless record names its lead only where it creates the placeholder.
     """
-    links = resolve_leads(linkage_records(records), leads).withColumnRenamed("record_id", "_rec")
+    links = resolve_leads(linkage_records(records), leads, top).withColumnRenamed("record_id", "_rec")
     nameless = F.coalesce("company_name", F.lit("")) == ""
     borrowed = F.when(~is_directory_url(F.col("source_url")), F.col("source_url"))
     return records.join(links, F.col("record_id") == F.col("_rec")).drop("_rec").withColumns(
@@ -68,13 +68,28 @@ def resolved_records(records: DataFrame, leads: DataFrame) -> DataFrame:
     )
 
 
+def _top(table: DataFrame, tops: dict[str, int] | None, name: str):
+    """The largest id of a table."""
+    if tops is not None:
+        return F.lit(tops.get(name, 0))
+    return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+
+
 def run_intake(raw: DataFrame, t: Tables) -> Tables:
     """The tables after a batch of validated raw sources. Nothing is ever dropped:
     sources without a lead stay in the evidence table."""
-    records = cut_lineage(parse_records(raw))
+    return intake_records(cut_lineage(parse_records(raw)), t)
+
+
+def intake_records(records: DataFrame, t: Tables, tops: dict[str, int] | None = None) -> Tables:
+    """The tables after the parsed ``records``.
+
+    ``t`` may hold only the leads that share a key with the records, their people, and nothing else,
+    if ``tops`` gives the largest id of each whole table; the result then holds those leads and people and the new rows.
+    """
     # The wide texts stay in the written table; linkage and merging read the other columns.
     narrow = records.drop("raw_text", "parsed_json")
-    resolved = cut_lineage(resolved_records(narrow, t.leads))
+    resolved = cut_lineage(resolved_records(narrow, t.leads, None if tops is None else tops.get("leads", 0)))
     leads = cut_lineage(merge_leads(t.leads, lead_changes(resolved)))
 
     persons = resolved.filter(F.col("lead_id").isNotNull()).select(
@@ -84,17 +99,16 @@ def run_intake(raw: DataFrame, t: Tables) -> Tables:
         "record_id", "person_no", "arrived", "lead_id", "confidence", "raw_source_id", "p.*",
         F.lit(None).cast("string").alias("seniority"),
     ).filter((F.coalesce("name", F.lit("")) != "") | (F.coalesce("email", F.lit("")) != ""))
-    people = cut_lineage(merge_people(t.people, persons))
+    people = cut_lineage(merge_people(t.people, persons, None if tops is None else tops.get("people", 0)))
 
     texts = records.select(F.col("record_id").alias("_text_of"), "raw_text")
     talking = resolved.filter(F.col("interaction").isNotNull())
     talks = emit_interactions(talking.join(texts, F.col("record_id") == F.col("_text_of")))
-    top = t.interactions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    talks = cut_lineage(number_rows(talks, ["created_at", "raw_source_id"], "_no").withColumn("id", F.col("_no") + top).drop("_no"))
+    talks = cut_lineage(number_rows(talks, ["created_at", "raw_source_id"], "_no").withColumn(
+        "id", F.col("_no") + _top(t.interactions, tops, "interactions")).drop("_no"))
     todo = emit_tasks(talks.withColumn("_talk", F.col("id")))
     todo = todo.join(talks.select("raw_source_id", F.col("id").alias("source_interaction_id")), "raw_source_id")
-    first = t.tasks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    todo = number_rows(todo, ["created_at", "raw_source_id"], "_no").withColumn("id", F.col("_no") + first)
+    todo = number_rows(todo, ["created_at", "raw_source_id"], "_no").withColumn("id", F.col("_no") + _top(t.tasks, tops, "tasks"))
 
     touched = resolved.select(F.col("lead_id").alias("_lead")).filter(F.col("_lead").isNotNull()).distinct()
     changed = leads.join(touched, F.col("id") == F.col("_lead"), "left_semi")

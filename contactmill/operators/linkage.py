@@ -338,10 +338,12 @@ def _lead_node(c: Column) -> Column:
     return c * 2
 
 
-def _keyed_nodes(records: DataFrame, leads: DataFrame) -> DataFrame:
-    def tagged(tag: str, c: Column) -> Column:
-        return F.when(c.isNotNull(), F.concat(F.lit(tag), c))
+def _tagged(tag: str, c: Column) -> Column:
+    return F.when(c.isNotNull(), F.concat(F.lit(tag), c))
+
 
+def record_keys(records: DataFrame) -> DataFrame:
+    """``node, key``: everything by which a record can meet a lead or another record."""
     mails = F.flatten(
         F.transform(
             "mails",
@@ -350,25 +352,33 @@ def _keyed_nodes(records: DataFrame, leads: DataFrame) -> DataFrame:
     )
     own = F.array_compact(
         F.array(
-            tagged("n:", F.col("name_key")), tagged("d:", F.col("domain_key")),
-            tagged("m:", F.col("mail_key")),
+            _tagged("n:", F.col("name_key")), _tagged("d:", F.col("domain_key")),
+            _tagged("m:", F.col("mail_key")),
             F.when(F.col("attach").isNotNull(), F.concat(F.lit("l:"), F.col("attach"))),
         )
     )
-    from_records = records.select(
+    return records.select(
         _record_node(F.col("record_id")).alias("node"),
         F.explode(F.array_distinct(F.concat(own, mails))).alias("key"),
     )
+
+
+def lead_keys(leads: DataFrame) -> DataFrame:
+    """``id, key``: the name, site, address and number of each lead, as ``record_keys`` writes them."""
     held = F.array_compact(
         F.array(
-            tagged("n:", blank_to_null(F.col("normalized_name"))),
-            tagged("d:", blank_to_null(F.lower("domain"))),
-            tagged("m:", blank_to_null(F.lower("company_email"))),
+            _tagged("n:", blank_to_null(F.col("normalized_name"))),
+            _tagged("d:", blank_to_null(F.lower("domain"))),
+            _tagged("m:", blank_to_null(F.lower("company_email"))),
             F.concat(F.lit("l:"), F.col("id")),
         )
     )
-    from_leads = leads.select(_lead_node(F.col("id")).alias("node"), F.explode(held).alias("key"))
-    return from_records.unionByName(from_leads)
+    return leads.select("id", F.explode(held).alias("key"))
+
+
+def _keyed_nodes(records: DataFrame, leads: DataFrame) -> DataFrame:
+    from_leads = lead_keys(leads).select(_lead_node(F.col("id")).alias("node"), "key")
+    return record_keys(records).unionByName(from_leads)
 
 
 def lead_components(records: DataFrame, leads: DataFrame) -> DataFrame:
@@ -456,7 +466,7 @@ def _replay_step(state: _Replay, row):
     return (row.record_id, -1, place[1], repeated, place[1] == row.place)
 
 
-def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
+def resolve_leads(records: DataFrame, leads: DataFrame, top: int | None = None) -> DataFrame:
     """``record_id, lead_id, is_new, creates, possible_duplicate`` for every record.
 
     ``records`` comes from ``linkage_records``. New leads get the ids a
@@ -467,6 +477,9 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
     A nameless record of a creating type goes to the oldest lead with its site, whose
     stored name stays. Those whose site no lead has, and those without one, share one
     placeholder lead per type, which does not link other records.
+
+    ``leads`` may be cut down to those that share a key with the records (``record_keys``,
+    ``lead_keys``, ``placeholder_key``); ``top`` is then the largest id of all.
     """
     nameless = F.col("name_key").isNull() & F.col("attach").isNull()
     seeks = nameless & F.col("source_type").isin(*NAMELESS_CREATES)
@@ -580,7 +593,7 @@ def resolve_leads(records: DataFrame, leads: DataFrame) -> DataFrame:
         opened.join(late.select("record_id"), "record_id", "left_anti").unionByName(parked)
     )
     creators = linked.filter(F.col("creator").isNotNull()).select("creator").distinct()
-    top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar() if top is None else F.lit(top)
     fresh = number_rows(creators, ["creator"], "_no").select(
         F.col("creator").alias("_creator"), (F.col("_no") + top).alias("_new")
     )

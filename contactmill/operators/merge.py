@@ -259,8 +259,8 @@ def _people_step(state: _PeopleReplay, row):
     return (row.place, place[1] if place[0] == 0 else -1, place[1] if place[0] == 1 else -1)
 
 
-def merge_people(people: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The people table after all incoming persons in arrival order.
+def merge_people(people: DataFrame, incoming: DataFrame, top: int | None = None) -> DataFrame:
+    """The people table after all incoming persons in arrival order; ``top`` is the largest id if ``people`` are only some of all.
 
     ``incoming``: ``record_id, person_no, arrived, lead_id, name, title,
     department, seniority, email, linkedin_url, confidence, raw_source_id``.
@@ -276,7 +276,7 @@ def merge_people(people: DataFrame, incoming: DataFrame) -> DataFrame:
         F.min("lead_id").alias("_lead_id"),
         F.min("arrived").alias("_created_at"),
     )
-    top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar() if top is None else F.lit(top)
     born = number_rows(batch.filter(F.col("creator").isNotNull()), ["creator"], "_no").select(
         (F.col("_no") + top).alias("id"),
         F.col("_lead_id").alias("lead_id"),

@@ -7,9 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactmill.operators import audit
-from contactmill.sources.tables import LEADS, SCHEMAS, read_tables, struct_of, write_tables
+from contactmill.sources.tables import LEADS, struct_of
 from contactmill.streaming import commands
-from contactmill.streaming.intake import stream_intake
 
 T0 = datetime(2024, 1, 1)
 
@@ -88,23 +87,3 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     step([(1, 3, T0 + timedelta(seconds=2), "succeeded"), (1, 4, T0 + timedelta(seconds=3), "failed")])
     got = [(r.event_id, r.previous, r.legal) for r in spark.read.parquet(out).orderBy("event_id").collect()]
     assert got == [(1, None, True), (2, "received", True), (3, "planned", False), (4, "succeeded", False)]
-
-
-def test_stream_intake_versions(spark, tmp_path, empty_tables):
-    root, source = str(tmp_path / "tables"), str(tmp_path / "in")
-    write_tables(empty_tables, f"{root}/v0")
-    schema = "id long, source_type string, source_url string, raw_text string, attach_lead_id long, created_at timestamp"
-
-    def step(rows, state="state"):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        raw = spark.readStream.schema(schema).parquet(source)
-        stream_intake(raw, root).option("checkpointLocation", str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination()
-
-    step([(1, "website", None, "Acme\nhttps://acme.com", None, T0)])
-    step([(2, "website", None, "Acme\nhttps://acme.org", None, T0 + timedelta(1))])
-    last = read_tables(spark, f"{root}/v2")
-    assert [(r.id, r.domain) for r in last.leads.collect()] == [(1, "acme.org")]
-    assert last.raw_sources.count() == 2 and set(SCHEMAS) >= {"leads"}
-    with pytest.raises(Exception, match="was made by"):  # a lost checkpoint is no reason to pass input over
-        step([(3, "website", None, "Late\nhttps://late.org", None, T0)], "other")
-    assert last.raw_sources.filter(F.col("lead_id") == 1).count() == 2
