@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -439,20 +440,38 @@ STREAM_SQL = """SELECT command_id, event_id, previous, status, coalesce((previou
 FROM (SELECT *, lag(status) OVER (PARTITION BY command_id ORDER BY ts, event_id) AS previous FROM command_events)"""
 
 
-@query("stream_command_state", STREAM_SQL)
-def _(v):
-    before = v.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+@contextmanager
+def state_in_rocksdb(spark):
+    """The state store that ``transformWithState`` needs, for one query."""
     key = "spark.sql.streaming.stateStore.providerClass"
-    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return drain(v, commands.stream_command_state(event_stream(v)), "state").drop("ts")
+        yield
     finally:
-        if before is None:
-            v.spark.conf.unset(key)
-        else:
-            v.spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+@query("stream_command_state", STREAM_SQL)
+def _(v):
+    with state_in_rocksdb(v.spark):
+        return drain(v, commands.stream_command_state(event_stream(v)), "state").drop("ts")
 
 
+# The events come out of order: dealt over five files by a hash, one file per micro-batch, then a
+# late event of no command that moves the watermark past all of them.
+@query("stream_ordered_command_state", STREAM_SQL)
+def _(v):
+    inbox, schema = new_folder(v), "event_id long, command_id long, ts timestamp, status string"
+    steps = v.command_events.select("event_id", "command_id", "ts", "status")
+    far = v.sql("SELECT CAST(-1 AS BIGINT) AS event_id, CAST(-1 AS BIGINT) AS command_id, CAST(max(ts) AS TIMESTAMP) + INTERVAL 1500 DAYS AS ts, 'received' AS status FROM {events}")
+    for n in range(5):
+        steps.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == n).coalesce(1).write.mode("append").parquet(inbox)
+    far.coalesce(1).write.mode("append").parquet(inbox)
+    raw = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    with state_in_rocksdb(v.spark):
+        judged = drain(v, commands.stream_ordered_command_state(raw, "400 days", 400), "ordered")
+    return judged.where("command_id >= 0").drop("ts")
 
 
 @query("write_email_log", "SELECT 'in.txt' AS source_file, count(*) AS n FROM orders")

@@ -87,3 +87,39 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     step([(1, 3, T0 + timedelta(seconds=2), "succeeded"), (1, 4, T0 + timedelta(seconds=3), "failed")])
     got = [(r.event_id, r.previous, r.legal) for r in spark.read.parquet(out).orderBy("event_id").collect()]
     assert got == [(1, None, True), (2, "received", True), (3, "planned", False), (4, "succeeded", False)]
+
+
+def test_ordered_stream(spark, tmp_path):
+    """Steps that come in any order over many micro-batches are judged as in batch; the state of finished commands goes, and late steps are counted."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "command_id long, event_id long, ts timestamp, status string"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    path = ["received", "planned", "executing", "awaiting_approval", "executing", "succeeded", "planned"]
+    steps = [(c, c * 10 + i, T0 + timedelta(hours=i), s) for c in range(4) for i, s in enumerate(path[: 7 - c])] + [(9, 90, T0, "executing"), (9, 91, T0, "failed")]
+    last = {}
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        events = commands.read_event_stream(spark, source, spark.createDataFrame([], schema).schema)
+        run = commands.stream_ordered_command_state(events, "2 days", 3).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", state).trigger(availableNow=True).start()
+        run.awaitTermination()
+        last["late"] = sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
+
+    def kept(name):
+        return spark.read.format("statestore").option("path", state).option("stateVarName", name).load().count()
+
+    shuffled = sorted(steps, key=lambda s: hash((s[1], 7)) % 101)
+    for n in range(3):
+        step(shuffled[n::3])
+    step([(-1, -1, T0 + timedelta(days=3), "received")])
+    got = {tuple(r) for r in spark.read.parquet(out).where("command_id >= 0").select("event_id", "previous", "legal").collect()}
+    events = spark.createDataFrame(steps, schema)
+    bad = {(r.event_id, r.previous) for r in audit.illegal_transitions(events).collect()}
+    assert len(got) == len(steps) and {(i, p) for i, p, legal in got if not legal} == bad and bad
+    assert kept("last") == 5
+    step([(-1, -2, T0 + timedelta(days=9), "planned"), (0, 99, T0, "planned")])
+    # Commands 1 and 9 have ended and are forgotten; 0, 2, 3 and -1 can still move. The step of nine days before is late.
+    assert kept("last") == 4 and last["late"] == 1
+    assert spark.read.parquet(out).where("event_id = 99").count() == 0
