@@ -203,35 +203,60 @@ def slug_contains_join(queries: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 # --- components --------------------------------------------------------------
+# At most so many keys are treated as hot, and none with fewer rows than this.
+HOT_KEYS, LEAST_HOT = 16_384, 64
+
+
+def join_hot_keys(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, one row per key with ``_size``, its number of rows.
+
+    Of ``total`` rows at most ``HOT_KEYS`` keys can have more than ``total / HOT_KEYS`` each: these are broadcast, and their rows
+    stay where they are. All other keys are small and meet by a shuffle.
+    """
+    limit = max(LEAST_HOT, total // HOT_KEYS)
+    hot = lookup.where(F.col("_size") > limit).drop("_size")
+    values = [c for c in hot.columns if c != key]
+    marked = rows.join(
+        F.broadcast(hot.select(F.col(key).alias("_hot"), F.struct(*values).alias("_found"))), F.col(key) == F.col("_hot"), "left"
+    )
+    cold = marked.where("_hot IS NULL").drop("_hot", "_found").join(lookup.where(F.col("_size") <= limit).drop("_size"), key)
+    found = marked.where("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
+    return cold.select(*found.columns).unionByName(found)
+
+
 def star_edges(keyed: DataFrame) -> DataFrame:
     """``node, key`` rows to edges from every node to the smallest node of its key."""
-    centres = (
-        keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high"))
-        .filter(F.col("low") < F.col("_high"))
+    centres = cut_lineage(
+        keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high"), F.count("*").alias("_size"))
+        .filter(F.col("low") < F.col("_high")).drop("_high")
     )
-    return keyed.join(centres.select("key", "low"), "key").filter(
+    total = centres.agg(F.sum("_size").alias("n")).first()["n"] or 0
+    return join_hot_keys(keyed, centres, "key", total).filter(
         F.col("node") != F.col("low")
     ).select("node", "low").distinct()
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    """``node, m, _size``: the smallest neighbour of each node, and how many it has."""
+    return links.groupBy("node").agg(F.min("low").alias("m"), F.count("*").alias("_size"))
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("low").alias("node"), F.col("node").alias("low")))
-    least = both.groupBy("node").agg(F.min("low").alias("m"))
-    least = least.select(F.col("node").alias("n"), F.least("node", "m").alias("m"))
+    least = _least(both).withColumn("m", F.least("node", "m"))
     return (
-        both.join(least, F.col("node") == F.col("n"))
-        .filter(F.col("low") > F.col("node"))
+        join_hot_keys(both.filter(F.col("low") > F.col("node")), least, "node", 2 * total)
         .select(F.col("low").alias("node"), F.col("m").alias("low"))
         .distinct()
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy(F.col("node").alias("n")).agg(F.min("low").alias("m"))
-    moved = links.join(least, F.col("node") == F.col("n")).filter(F.col("low") != F.col("m"))
+def _small_star(links: DataFrame, total: int) -> DataFrame:
+    least = _least(links)
+    moved = join_hot_keys(links, least, "node", total).filter(F.col("low") != F.col("m"))
     return (
         moved.select(F.col("low").alias("node"), F.col("m").alias("low"))
-        .unionByName(least.select(F.col("n").alias("node"), F.col("m").alias("low")))
+        .unionByName(least.select("node", F.col("m").alias("low")))
         .distinct()
     )
 
@@ -249,7 +274,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each
     round is a few aggregations and joins, written to the shared folder, so a
-    lost executor costs one round. Only two numbers per round reach the driver.
+    lost executor costs one round. Only two numbers per round reach the driver. The links of a
+    node with very many of them are not brought together: see ``join_hot_keys``.
     """
     now = cut_lineage(
         links.filter(F.col("node") != F.col("low"))
@@ -258,7 +284,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     mark = _fingerprint(now)
     while mark[0]:
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = cut_lineage(_small_star(_large_star(now, mark[0]), 2 * mark[0]))
         before, mark = mark, _fingerprint(now)
         if mark == before:
             break
@@ -538,10 +564,10 @@ def resolve_leads(records: DataFrame, leads: DataFrame, top: int | None = None)
     stats = (
         stats.withColumn("route", F.when(F.coalesce(uniform, F.lit(False)), "uniform")
                          .when(lone, "lone").otherwise("mixed"))
-        .select("component", "route", "n_leads", "first_lead", "first_place")
+        .select("component", "route", "n_leads", "first_lead", "first_place", "n")
     )
 
-    routed = cut_lineage(members.join(stats, "component"))
+    routed = cut_lineage(join_hot_keys(members, stats.withColumn("_size", F.col("n")).drop("n"), "component", members.count()))
     settled = routed.filter(is_record & (F.col("route") == "uniform")).select(
         "record_id",
         F.col("first_lead").alias("old_lead"),

@@ -162,6 +162,7 @@ def link_people(people: DataFrame, incoming: DataFrame) -> DataFrame:
     from contactmill.operators.linkage import (
         connected_components,
         fold_in_order,
+        join_hot_keys,
         star_edges,
         with_component,
     )
@@ -211,7 +212,8 @@ def link_people(people: DataFrame, incoming: DataFrame) -> DataFrame:
     one_url = (F.col("n_url") == F.col("n")) & (F.col("url_lo") == F.col("url_hi"))
     one_mail = (F.col("n_mail") == F.col("n")) & (F.col("mail_lo") == F.col("mail_hi")) & (F.col("n_url") == 0)
     uniform = F.coalesce(one_url | one_mail, F.lit(False)) | (F.col("n") == 1)
-    routed = members.join(stats.withColumn("simple", uniform), "component")
+    sized = stats.withColumns({"simple": uniform, "_size": F.col("n")}).select("component", "simple", "first_id", "first_place", "_size")
+    routed = join_hot_keys(members, sized, "component", members.count())
     simple = routed.filter(F.col("simple") & (F.col("kind") == 1)).select(
         "place",
         F.col("first_id").alias("old_person"),

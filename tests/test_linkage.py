@@ -236,3 +236,30 @@ def test_people_as_one_by_one(spark):
     held = spark.createDataFrame([], struct_of(PEOPLE))
     got = {(p["id"], p["lead_id"], p["linkedin_url"], p["email"], p["name"]) for p in merge.merge_people(held, df).collect()}
     assert got == people_one_by_one(rows)
+
+
+def test_hot_keys_are_not_brought_together(spark):
+    """Same rows as a plain join; keys above the limit meet no shuffle; their number is bounded by the limit itself."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id") % 400 + 10).alias("key"), F.col("id").alias("node"))
+    lookup = rows.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("_size"))
+    joined = linkage.join_hot_keys(rows, lookup, "key", 3000)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.join(lookup.drop("_size"), "key").select("key", "node", "low").collect()))
+    assert lookup.where(F.col("_size") > max(linkage.LEAST_HOT, 3000 // linkage.HOT_KEYS)).count() == 1 <= linkage.HOT_KEYS
+
+
+def test_components_of_stars_chains_and_hubs(spark):
+    """Two hubs with 500 nodes each that a chain connects, a lone pair, and a long chain."""
+    links = [(i, 0) for i in range(1, 500)] + [(i, 1000) for i in range(1001, 1500)] + [(2000, 3), (2001, 2000), (2001, 1400)]
+    links += [(5000, 4000)] + [(i + 1, i) for i in range(6000, 6100)]
+    got = {r.node: r.component for r in linkage.connected_components(spark.createDataFrame(links, "node long, low long")).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == {x: root(x) for x in list(parent)}
