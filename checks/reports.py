@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from checks.bind import duck_stamp, stamp
 from checks.registry import query
 from contactmill.functions.text import has_text
-from contactmill.operators import linkage, quality
-from contactmill.plans import legacy, reports, search
+from contactmill.operators import linkage, numbering, quality
+from contactmill.plans import legacy, ordering, reports, search
 from contactmill.session import shared_dir
 from contactmill.sources import tables as src
 
@@ -501,7 +501,7 @@ def _(v):
 
 @query("sort_nocase", "SELECT id, row_number() OVER (ORDER BY lower(company_name), id) AS place FROM leads")
 def _(v):
-    return _placed(v.leads.select("id", "company_name"), F.lower("company_name"), "id").select("id", "place")
+    return _placed(v.leads.select("id", "company_name"), *ordering.nocase("company_name", "id")).select("id", "place")
 
 
 @query(
@@ -510,7 +510,7 @@ def _(v):
 )
 def _(v):
     rows = v.tasks.select("id", "due_date", "title")
-    return _placed(rows, F.asc_nulls_last("due_date"), "id", "title").select("id", "place")
+    return _placed(rows, *ordering.nulls_last("due_date", "id", "title")).select("id", "place")
 
 
 @query(
@@ -518,7 +518,7 @@ def _(v):
     "SELECT id, row_number() OVER (ORDER BY fit_score DESC NULLS LAST, id) AS place FROM companies",
 )
 def _(v):
-    return _placed(v.companies.select("id", "fit_score"), F.desc_nulls_last("fit_score"), "id").select("id", "place")
+    return _placed(v.companies.select("id", "fit_score"), *ordering.desc_nulls_last("fit_score", "id")).select("id", "place")
 
 
 @query(
@@ -529,6 +529,16 @@ def _(v):
     return search.search_contacts(v.tables, status="new", limit=25, offset=50).select("id", "record_count")
 
 
+# Half the tasks lie before the page; it is numbered through the ranges of the sort.
+@query(
+    "deep_page",
+    """SELECT id, title FROM tasks ORDER BY due_date IS NULL, due_date, id, title LIMIT 40 OFFSET (SELECT count(*) // 2 FROM tasks)""",
+)
+def _(v):
+    rows = v.tasks.select("id", "due_date", "title")
+    return numbering.page_of(rows, ordering.nulls_last("due_date", "id", "title"), 40, rows.count() // 2).select("id", "title")
+
+
 @query(
     "top_n_per_group",
     """SELECT lead_id, id, place FROM (SELECT lead_id, id, row_number() OVER (PARTITION BY lead_id ORDER BY created_at DESC, id) AS place
@@ -545,10 +555,7 @@ def _(v):
 UNION ALL SELECT lead_id, deadline, 'interaction' FROM interactions WHERE status = 'open'""",
 )
 def _(v):
-    def part(df, date, kind):
-        return df.filter("status = 'open'").select("lead_id", F.col(date).alias("due_date"), F.lit(kind).alias("item_type"))
-
-    return part(v.tasks, "due_date", "task").unionByName(part(v.interactions, "deadline", "interaction"))
+    return ordering.open_items(v.tables)
 
 
 @query(
@@ -576,7 +583,7 @@ list_transform(list_filter(list_transform(w, lambda x, i: CASE WHEN list_positio
 FROM (SELECT doc_id, str_split(substr(text, 1, 400), ' ') AS w FROM documents))""".replace("substr(text, 1, 400)", "text"),
 )
 def _(v):
-    words = F.array_distinct(F.split("text", " "))
+    words = ordering.dedupe_first_seen(F.split("text", " "))
     return v.base("documents").select("doc_id", F.array_join(words, " ").alias("words"))
 
 
@@ -585,8 +592,7 @@ def _(v):
     "SELECT id FROM leads WHERE id NOT IN (SELECT lead_id FROM people)",
 )
 def _(v):
-    held = v.people.select(F.col("lead_id").alias("id"))
-    return v.leads.select("id").join(held, "id", "left_anti")
+    return ordering.id_difference(v.leads, v.people, "lead_id")
 
 
 # --- search --------------------------------------------------------------------------------

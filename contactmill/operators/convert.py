@@ -220,64 +220,73 @@ def to_tasks(tasks: DataFrame, leads: DataFrame) -> DataFrame:
     )
 
 
-def _outcomes(df: DataFrame, entity: str, outcome: str, reason: str) -> DataFrame:
-    return df.agg(F.count("*").alias("n")).select(
-        F.lit(entity).alias("entity"), F.lit(outcome).alias("outcome"),
-        F.lit(reason).alias("reason"), "n",
-    )
+def _filled(*columns: str) -> Column:
+    """How many of the columns hold a contact method."""
+    return reduce(lambda a, b: a + b, [(F.coalesce(c, F.lit("")) != "").cast("long") for c in columns])
 
 
-def _children(df: DataFrame, leads: DataFrame, entity: str) -> DataFrame:
-    """Rows of a child table with and without their lead, counted in one pass."""
-    keys = leads.select(F.col("id").alias("_org_lead"))
-    found = F.col("_org_lead").isNotNull()
-    counts = df.join(keys, F.col("lead_id") == F.col("_org_lead"), "left").agg(
-        F.count_if(found).alias("moved"), F.count_if(~found).alias("left")
-    )
-    outcomes = F.array(
-        F.struct(F.lit("migrated").alias("outcome"), F.lit("").alias("reason"), F.col("moved").alias("n")),
-        F.struct(F.lit("skipped").alias("outcome"), F.lit("missing_org").alias("reason"), F.col("left").alias("n")),
-    )
-    return counts.select(F.lit(entity).alias("entity"), F.inline(outcomes))
+def _marks(df: DataFrame, key: str, **marks: Column) -> DataFrame:
+    """``key`` and the named numbers; those of ``COUNTED`` that are missing are 0."""
+    zero = F.lit(0).cast("long")
+    return df.select(F.col(key).alias("key"), *[marks.get(m, zero).cast("long").alias(m) for m in COUNTED])
+
+
+COUNTED = ("lead", "known", "methods", "person", "person_methods", "interaction", "task", "empty")
+
+
+def _report(totals: DataFrame, lines: list[tuple[str, str, str, Column]]) -> DataFrame:
+    """One row per line from the single row of totals."""
+    made = [F.struct(F.lit(e).alias("entity"), F.lit(o).alias("outcome"), F.lit(r).alias("reason"), F.coalesce(n, F.lit(0)).cast("long").alias("n")) for e, o, r, n in lines]
+    return totals.select(F.inline(F.array(*made)))
 
 
 def reconciliation_report(t: Tables, existing: Normalised | None = None) -> DataFrame:
     """``entity, outcome, reason, n``: what a conversion moves, skips or finds in conflict.
 
-    Writes nothing, so it doubles as the dry run.
+    Writes nothing, so it doubles as the dry run. Every table is read once: leads, the rows that hang on them and what the target
+    holds are counted per lead and the counts added up, with partial sums before the shuffle, so a lead of very
+    many rows (or none at all) is one row of it.
     """
-    orgs = existing.organizations if existing else None
-    sources = existing.sources if existing else None
-    parts = [
-        _outcomes(_new_leads(t.leads, orgs), "organization", "migrated", ""),
-        _outcomes(t.leads.filter(F.col("id").isNull()), "organization", "skipped", "missing_id"),
-        _outcomes(
-            to_contact_methods(t.leads, t.people, orgs), "contact_method", "migrated", ""
-        ),
-        _outcomes(_new_sources(t.raw_sources, sources), "source", "migrated", ""),
-        _outcomes(
-            t.raw_sources.filter(strip(F.coalesce("raw_text", F.lit(""))) == ""),
-            "source", "skipped", "empty_text",
-        ),
+    one = F.lit(1)
+    by_lead = [
+        _marks(t.leads, "id", lead=F.col("id").isNotNull(), empty=F.col("id").isNull(), methods=_filled("company_email", "company_phone")),
+        _marks(t.people, "lead_id", person=one, person_methods=_filled("email", "linkedin_url")),
+        _marks(t.interactions, "lead_id", interaction=one),
+        _marks(t.tasks, "lead_id", task=one),
     ]
-    for entity, df in (("person", t.people), ("interaction", t.interactions), ("task", t.tasks)):
-        parts.append(_children(df, t.leads, entity))
+    is_empty = strip(F.coalesce("raw_text", F.lit(""))) == ""
+    by_source = [_marks(t.raw_sources, "id", lead=~is_empty, empty=is_empty)]
     if existing:
-        known = orgs.select(F.col("legacy_lead_id").alias("_known"))
-        parts.append(
-            _outcomes(
-                t.leads.join(known, F.col("id") == F.col("_known"), "left_semi"),
-                "organization", "conflict", "legacy_lead_id",
-            )
-        )
-        seen = sources.select(F.col("legacy_source_id").alias("_known"))
-        parts.append(
-            _outcomes(
-                _filled_sources(t.raw_sources).join(seen, F.col("id") == F.col("_known"), "left_semi"),
-                "source", "conflict", "legacy_source_id",
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        by_lead.append(_marks(existing.organizations, "legacy_lead_id", known=one))
+        by_source.append(_marks(existing.sources, "legacy_source_id", known=one))
+
+    def per_key(parts: list[DataFrame]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), parts).groupBy("key").agg(*[F.sum(m).alias(m) for m in COUNTED])
+
+    found, fresh, clash = F.col("lead") > 0, (F.col("lead") > 0) & (F.col("known") == 0), (F.col("lead") > 0) & (F.col("known") > 0)
+
+    def total(count: str, test: Column | None = None) -> Column:
+        return F.sum(F.col(count) if test is None else F.when(test, F.col(count)))
+
+    leads = per_key(by_lead).agg(
+        total("lead", fresh).alias("new"), total("empty").alias("nameless"), total("lead", clash).alias("clash"),
+        total("methods", fresh).alias("lead_methods"), total("person_methods", found).alias("person_methods"),
+        *[total(c, found).alias(f"{c}_moved") for c in ("person", "interaction", "task")],
+        *[total(c, ~found).alias(f"{c}_left") for c in ("person", "interaction", "task")],
+    )
+    sources = per_key(by_source).agg(total("lead", fresh).alias("new"), total("empty").alias("empty"), total("lead", clash).alias("clash"))
+    c = F.col
+    of_leads = [
+        ("organization", "migrated", "", c("new")), ("organization", "skipped", "missing_id", c("nameless")),
+        ("contact_method", "migrated", "", F.coalesce("lead_methods", F.lit(0)) + F.coalesce("person_methods", F.lit(0))),
+    ]
+    for entity in ("person", "interaction", "task"):
+        of_leads += [(entity, "migrated", "", c(f"{entity}_moved")), (entity, "skipped", "missing_org", c(f"{entity}_left"))]
+    of_sources = [("source", "migrated", "", c("new")), ("source", "skipped", "empty_text", c("empty"))]
+    if existing:
+        of_leads.append(("organization", "conflict", "legacy_lead_id", c("clash")))
+        of_sources.append(("source", "conflict", "legacy_source_id", c("clash")))
+    return _report(leads, of_leads).unionByName(_report(sources, of_sources))
 
 
 def migration_skips(t: Tables) -> DataFrame:

@@ -16,6 +16,7 @@ from contactmill.functions.text import (
     is_host_mail,
     normalize_text,
 )
+from contactmill.operators.numbering import page_of
 from contactmill.plans.reports import by_rank, people_rollup
 from contactmill.sources.tables import Tables
 
@@ -72,8 +73,7 @@ def search_contacts(
         how = "left_semi" if has_person else "left_anti"
         leads = leads.join(held, F.col("id") == F.col("_lead"), how)
     total = leads.agg(F.count("*").alias("n")).scalar()
-    page = leads.orderBy(*by_rank()).offset(offset).limit(limit)
-    return page.withColumn("record_count", total)
+    return page_of(leads, by_rank(), limit, offset).withColumn("record_count", total)
 
 
 def _as_list(value) -> list[str]:
