@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 
@@ -10,6 +12,8 @@ from checks.registry import query
 from contactmill.functions.text import slugify
 from contactmill.operators import extraction, linkage, merge, numbering
 from contactmill.plans import legacy
+from contactmill.session import shared_dir
+from contactmill.sources import evidence
 
 RECORDS = """
 SELECT o_orderkey AS record_id, CASE o_orderkey % 4 WHEN 0 THEN concat('CUSTOMER  #', lpad(CAST(o_custkey AS STRING), 9, '0')) WHEN 1 THEN concat('Nobody ', o_orderkey)
@@ -345,6 +349,25 @@ CAST(0.3 AS DOUBLE) AS confidence, CAST(o_orderdate AS TIMESTAMP) AS created_at
     return merge.append_evidence(v.raw_sources, fresh).select("id", "lead_id", "extraction_status")
 
 
+# Three appends: every order as a note, those of even number again, then all again with a new one for each customer.
+@query(
+    "append_evidence_once",
+    """WITH t AS (SELECT o_orderdate AS day, concat('Order of ', o_custkey, ' at ', o_orderpriority) AS raw_text FROM orders),
+a AS (SELECT raw_text, min(day) AS day FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM a)
+SELECT raw_text, row_number() OVER (ORDER BY day, sha256(concat('4:note0:', length(raw_text), ':', raw_text))) AS id FROM a
+UNION ALL SELECT concat('Greeting of ', c_custkey), n + row_number() OVER (ORDER BY sha256(concat('4:note0:', length(concat('Greeting of ', c_custkey)), ':Greeting of ', c_custkey))) FROM customer, n""",
+)
+def _(v):
+    root = f"{shared_dir(v.spark)}/check-{uuid.uuid4().hex}"
+    head = "CAST(NULL AS BIGINT) AS lead_id, 'note' AS source_type, CAST(NULL AS STRING) AS source_url, CAST(NULL AS STRING) AS source_filter_tier"
+    tail = "CAST(NULL AS STRING) AS parsed_json, 'ok' AS extraction_status, CAST(0.5 AS DOUBLE) AS confidence"
+    orders = v.sql(f"SELECT o_orderkey AS id, {head}, concat('Order of ', o_custkey, ' at ', o_orderpriority) AS raw_text, {tail}, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM {{orders}}")
+    greetings = v.sql(f"SELECT c_custkey AS id, {head}, concat('Greeting of ', c_custkey) AS raw_text, {tail}, CAST(DATE '2030-01-01' AS TIMESTAMP) AS created_at FROM {{customer}}")
+    for batch in (orders, orders.where("id % 2 = 0"), orders.unionByName(greetings)):
+        evidence.append_evidence_once(v.spark, root, batch)
+    return evidence.read_evidence(v.spark, root).select("raw_text", "id")
+
+
 @query(
     "merge_duplicate_preview",
     """WITH p AS (SELECT id AS duplicate_id, id % 100 AS canonical_id FROM leads WHERE id >= 100),
