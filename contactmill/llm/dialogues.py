@@ -93,7 +93,7 @@ def format_interactions(
     the budget, and a turn is never cut: one that is longer than the budget
     makes its window longer. Each later window begins with the first turn, if
     its type is ``system``, and with the turns before it that fit into
-    ``history`` tokens.
+    ``history`` tokens and leave room for its first new turn.
 
     Gives ``lead_id, window_no, text, loss_spans, n_turns, n_repeated, n_tokens``:
     the first ``n_repeated`` turns of a window repeat earlier ones; ``loss_spans`` are
@@ -126,7 +126,8 @@ def format_interactions(
                 window, first = Window(lead, 0, []), turn if kind == system else None
             elif not window.takes(n, budget):
                 yield window.row(target)
-                kept = ([first] if first else []) + window.history(history, first)
+                room = budget - n - (first["n"] if first else 0)
+                kept = ([first] if first else []) + window.history(min(history, room), first)
                 window = Window(lead, window.number + 1, kept)
             window.add(turn)
         if window is not None:

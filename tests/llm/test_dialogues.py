@@ -52,3 +52,16 @@ def test_digests(told):
     assert out[2]["loss_sha256"] == hashlib.sha256((texts[1] * 2).encode()).hexdigest()
     assert (out[3]["n_turns"], out[3]["loss_chars"]) == (1, 0)
     assert dialogues.digest_windows(dialogues.format_interactions(told.limit(0), PATH)).count() == 0
+
+
+def test_budget_with_history(spark):
+    """Repeated history makes way for the next turn: a window is over the budget only if that turn does not fit beside the system turn."""
+    rows = [(1, 0, "system", "be kind")] + [(1, i, ("user", "assistant")[i % 2 == 0], "word " * (20 + 37 * i % 130)) for i in range(1, 60)]
+    rows += [(2, i, "user", "word " * n) for i, n in enumerate((170, 60, 170, 190, 20, 20, 180, 400, 10))]
+    told = spark.createDataFrame(rows, "lead_id long, id long, type string, body string")
+    windows = dialogues.format_interactions(told, PATH, budget=200, history=80).orderBy("lead_id", "window_no").collect()
+    over = [w for w in windows if w["n_tokens"] > 200]
+    assert [(w["lead_id"], w["n_turns"] - w["n_repeated"]) for w in over] == [(2, 1)] and any(w["n_repeated"] > 1 for w in windows)
+    for lead in (1, 2):
+        new = [b for w in windows if w["lead_id"] == lead for _, b in dialogues.read_turns(w["text"])[w["n_repeated"]:]]
+        assert new == [r[3] for r in rows if r[0] == lead]
