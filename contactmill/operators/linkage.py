@@ -205,23 +205,27 @@ def slug_contains_join(queries: DataFrame, companies: DataFrame) -> DataFrame:
 # --- components --------------------------------------------------------------
 # At most so many keys are treated as hot, and none with fewer rows than this.
 HOT_KEYS, LEAST_HOT = 16_384, 64
+# Parts that the rows of one hot key are dealt to.
+SPREAD = 4096
 
 
 def join_hot_keys(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``lookup``, one row per key with ``_size``, its number of rows.
 
-    Of ``total`` rows at most ``HOT_KEYS`` keys can have more than ``total / HOT_KEYS`` each: these are broadcast, and their rows
-    stay where they are. All other keys are small and meet by a shuffle.
+    Of ``total`` rows at most ``HOT_KEYS`` keys can have more than ``total / HOT_KEYS`` each: these are broadcast to their
+    rows. All other keys are small and meet by a shuffle.
     """
     limit = max(LEAST_HOT, total // HOT_KEYS)
-    hot = lookup.where(F.col("_size") > limit).drop("_size")
-    values = [c for c in hot.columns if c != key]
-    marked = rows.join(
-        F.broadcast(hot.select(F.col(key).alias("_hot"), F.struct(*values).alias("_found"))), F.col(key) == F.col("_hot"), "left"
-    )
-    cold = marked.where("_hot IS NULL").drop("_hot", "_found").join(lookup.where(F.col("_size") <= limit).drop("_size"), key)
-    found = marked.where("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
-    return cold.select(*found.columns).unionByName(found)
+    values = [c for c in lookup.columns if c not in (key, "_size")]
+    is_hot = F.col("_size") > limit
+    hot = lookup.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*values).alias("_in_hot"))
+    cold = lookup.where(~is_hot).select(F.col(key).alias("_cold"), F.lit(0).alias("_part"), F.struct(*values).alias("_in_cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    # Rows of hot keys have found theirs; in the shuffle they match nothing and are spread by a part of their own.
+    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int") + 1)
+    met = marked.withColumn("_at", spread).join(cold, (F.col(key) == F.col("_cold")) & (F.col("_at") == F.col("_part")), "left")
+    found = F.coalesce("_in_hot", "_in_cold")
+    return met.where(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in values])
 
 
 def star_edges(keyed: DataFrame) -> DataFrame:
