@@ -10,7 +10,7 @@ from checks.bind import duck_stamp, stamp
 from checks.registry import query
 from contactmill.functions.text import has_text
 from contactmill.operators import linkage, numbering, quality
-from contactmill.plans import legacy, ordering, reports, search
+from contactmill.plans import legacy, lookup, ordering, reports, search
 from contactmill.session import shared_dir
 from contactmill.sources import tables as src
 
@@ -645,6 +645,48 @@ def _(v):
     return search.search_leads_many(v.tables, [QUESTION, "Show leads in Europe"])
 
 
+ASKED = """SELECT conv_id * 1000 + turn AS id, text FROM {conversations} WHERE role = 'user'
+UNION ALL SELECT -1 - s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN concat('Agencies in ', n_name, ' for shopify plus migration, SEO and shopify content')
+  WHEN 1 THEN concat('Who in ', n_name, ' sells product descriptions, partner ', s_suppkey, '?') WHEN 2 THEN concat(s_name, ' new new store')
+  ELSE concat('Find the agency ', CASE WHEN s_suppkey % 8 = 3 THEN lower(n_name) ELSE '' END) END
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
+
+
+@query(
+    "search_leads_by_questions",
+    rf"""WITH q AS (SELECT id AS query_id, trim(regexp_replace(lower(text), '[\s\v]+', ' ', 'g')) AS q FROM ({ASKED.replace('{', '').replace('}', '')})),
+w AS (SELECT query_id, list_concat(list_filter(['product descriptions', 'product description', 'shopify plus'], lambda p: contains(q, p)),
+  list_slice(list_filter(regexp_extract_all(q, '[a-z0-9ćčžšđ]+'), lambda w: length(w) >= 3 AND w NOT IN (
+'and','are','for','from','that','the','with','who','which','what','find','show','list','give','lead','leads','agency','agencies',
+'company','companies','koje','koja','koji','rade','radi','agencije','agencija','kompanije','klijenti','daj','nadji','prikazi','imamo',
+'ima','bazi','preko','iznad','mail','email','kontakt','contact')), 1, 8)) AS terms FROM q),
+b AS (SELECT id, company_name, fit_score, {BLOB} AS blob FROM leads_h),
+e AS (SELECT query_id, unnest(terms) AS term FROM w),
+h AS (SELECT d.term, b.id FROM (SELECT DISTINCT term FROM e) d JOIN b ON contains(b.blob, d.term)),
+s AS (SELECT e.query_id, h.id, sum(CASE WHEN contains(e.term, ' ') THEN 3 ELSE 1 END) AS score FROM e JOIN h ON e.term = h.term GROUP BY ALL
+UNION ALL SELECT query_id, b.id, 0 FROM w, b WHERE len(terms) = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(fit_score, 0) DESC, lower(company_name), id) AS INTEGER) AS place,
+id AS lead_id, company_name, CAST(score AS INTEGER) AS score FROM s JOIN b USING (id) QUALIFY place <= 10""",
+)
+def _(v):
+    return lookup.search_leads_by_questions(v.tables, v.sql(ASKED))
+
+
+NEEDLES = """SELECT p_partkey AS needle_id, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN concat('00', p_partkey)
+  WHEN 2 THEN concat('R#0%', p_partkey, ' ') WHEN 3 THEN concat(p_partkey, ' Shopify_Plus') WHEN 4 THEN concat('omer_', '0000', p_partkey)
+  WHEN 5 THEN concat(p_partkey, ' & co') ELSE concat('MER#', p_partkey, p_brand) END AS name FROM {part}"""
+
+
+@query(
+    "search_leads_by_names",
+    rf"""WITH f AS (SELECT *, trim(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_&.\-]+', ' ', 'g')) AS normal FROM ({NEEDLES.replace('{', '').replace('}', '')}))
+SELECT needle_id, name, l.id AS lead_id, company_name FROM f JOIN leads l
+ON l.normalized_name ILIKE concat('%', normal, '%') OR l.company_name ILIKE concat('%', name, '%')""",
+)
+def _(v):
+    return lookup.search_leads_by_names(v.leads, v.sql(NEEDLES))
+
+
 @query(
     "search_filters",
     """SELECT l.id FROM leads_h l JOIN open_children o ON o.lead_id = l.id WHERE fit_score >= 20
