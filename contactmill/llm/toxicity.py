@@ -1,13 +1,15 @@
 """Toxicity of stored texts by a weighted finite-state grammar over clauses.
 
 A text is cut into clauses. A lexicon turns the words of a clause into classes
-(insult, threat, target, negation, report, other) with weights. Three small transducers
-read the classes: one weakens insults under negation, one weakens what is
-reported of others, one strengthens what is aimed at a target and lets threats
-count only then. Their composition is built once as one machine; the weight of a clause is the sum
+(insult, threat, target, speaker, negation, report, other) with weights. A first transducer reads a clause from its end
+and marks insults that a target follows and threats whose object, a target, follows closely. Then three small ones
+read from its start: one weakens insults and threats under negation, one weakens what is
+reported of others, one strengthens insults with a target on either side and threats of the speaker, and gives a
+threat without an object no weight. Their composition is built once as one machine; the weight of a clause is the sum
 along its path, and the clauses of a text add up to its log-odds.
 
-Insults and their weights are learned from labelled texts; the other classes are fixed words.
+Insults and their weights are learned from labelled texts, as whole words or as the longest beginning that several
+forms of a word share; the other classes are fixed words.
 """
 
 from __future__ import annotations
@@ -27,18 +29,25 @@ from pyspark.sql import functions as F
 from contactmill.llm.rows import filter_rows, map_rows
 from contactmill.session import cut_lineage
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SPEAKER, AIMED_INSULT, AIMED_THREAT = CLASSES = range(9)
+HURTFUL = (INSULT, THREAT, AIMED_INSULT, AIMED_THREAT)
 
 # Words of the closed classes in English, German, French and Spanish.
 FIXED = {
     TARGET: "you your you're yourself he she they them him her du dich dir euch ihr sie tu te toi vous tú te ti vosotros ustedes él ella",
-    NEGATION: "not no never isn't aren't wasn't don't nicht kein keine nie ne pas jamais no nunca jamás",
+    SPEAKER: "i i'll i'm we we'll ich wir je nous yo nosotros",
+    NEGATION: "not no never isn't aren't wasn't don't won't can't couldn't wouldn't didn't doesn't nicht kein keine nie ne pas jamais no nunca jamás",
     REPORT: "said says told called reported quoted wrote sagte sagt nannte berichtet dit disait appelé dijo dice llamó",
     THREAT: "kill hurt destroy beat stab shoot töten umbringen schlagen tuer frapper détruire matar golpear destruir",
 }
-#: weight of a threat, share left of a negated and of a reported insult, factor of a targeted one
-THREAT_WEIGHT, NEGATED, REPORTED, TARGETED = 3.0, 0.4, 0.5, 1.5
+DEADLY = set("kill stab shoot töten umbringen tuer matar".split())
+#: weight of a deadly and of any other threat, share left of a negated and of a reported insult, factors of a targeted insult
+#: and of a threat that the speaker makes
+DEADLY_WEIGHT, THREAT_WEIGHT, NEGATED, REPORTED, TARGETED, SPOKEN = 3.0, 1.5, 0.4, 0.5, 1.5, 1.8
 NEGATION_REACH = 3
+OBJECT_REACH = 3
+#: shortest learned beginning, and letters a word may have beyond one
+SHORTEST_STEM, LONGEST_ENDING = 5, 4
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:,\n]")
@@ -56,35 +65,51 @@ class Transducer:
         out = Transducer(self.n_states * after.n_states)
         for a in range(self.n_states):
             for b in range(after.n_states):
-                for c in range(6):
+                for c in CLASSES:
                     a2, mid, f = self.step[a, c]
                     b2, last, g = after.step[b, mid]
                     out.step[a * after.n_states + b, c] = (a2 * after.n_states + b2, last, f * g)
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def looking_ahead() -> Transducer:
+    """Reads a clause from its end: state 0 before any target, else 1 and how many words it reaches back to a threat."""
+    out = Transducer(OBJECT_REACH + 2)
+    for s in range(OBJECT_REACH + 2):
+        for c in CLASSES:
+            following = OBJECT_REACH + 1 if c == TARGET else max(min(s, 1), s - 1)
+            given = AIMED_INSULT if s and c == INSULT else AIMED_THREAT if s > 1 and c == THREAT else c
+            out.step[s, c] = (following, given, 1.0)
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def grammar() -> Transducer:
+    """Reads the classes that ``looking_ahead`` gives, from the start of the clause."""
     negation = Transducer(NEGATION_REACH + 1)
     for s in range(NEGATION_REACH + 1):
-        for c in range(6):
+        for c in CLASSES:
             following = NEGATION_REACH if c == NEGATION else max(0, s - 1)
-            negation.step[s, c] = (following, c, NEGATED if s and c in (INSULT, THREAT) else 1.0)
+            negation.step[s, c] = (following, c, NEGATED if s and c in HURTFUL else 1.0)
     reported = Transducer(2)
     for s in range(2):
-        for c in range(6):
-            reported.step[s, c] = (1 if c == REPORT else s, c, REPORTED if s and c in (INSULT, THREAT) else 1.0)
-    aimed = Transducer(2)
-    for s in range(2):
-        for c in range(6):
-            factor = (TARGETED if s else 1.0) if c == INSULT else (1.0 if s else 0.0) if c == THREAT else 1.0
-            aimed.step[s, c] = (1 if c == TARGET else s, c, factor)
+        for c in CLASSES:
+            reported.step[s, c] = (1 if c == REPORT else s, c, REPORTED if s and c in HURTFUL else 1.0)
+    # States: 0, 1 after a target, 2 after the speaker, 3 after both; who reports is neither.
+    aimed = Transducer(4)
+    for s in range(4):
+        for c in CLASSES:
+            factor = {
+                INSULT: TARGETED if s & 1 else 1.0, AIMED_INSULT: TARGETED, THREAT: 0.0, AIMED_THREAT: SPOKEN if s & 2 else 1.0,
+            }.get(c, 1.0)
+            aimed.step[s, c] = (0 if c == REPORT else s | {TARGET: 1, SPEAKER: 2}.get(c, 0), c, factor)
     return negation.compose(reported).compose(aimed)
 
 
 @dataclass
 class ToxicityModel:
-    """Learned insults: stems (any word that begins so) and whole words with weights; log-odds before any evidence."""
+    """Learned insults: stems (a word may add an ending of a few letters) and whole words with weights; log-odds before any evidence."""
 
     stems: dict[str, float]
     words: dict[str, float]
@@ -92,7 +117,7 @@ class ToxicityModel:
 
     def __post_init__(self):
         self.fixed = {w: c for c, text in FIXED.items() for w in text.split()}
-        self.machine = grammar().step
+        self.ahead, self.machine = looking_ahead().step, grammar().step
         self.finder = ahocorasick.Automaton()
         for w in {*self.stems, *self.words, *FIXED[THREAT].split()}:
             self.finder.add_word(w, len(w))
@@ -102,16 +127,21 @@ class ToxicityModel:
     def classify(self, word: str) -> tuple[int, float]:
         weight = self.words.get(word, 0.0)
         for n in self.lengths:
-            weight = max(weight, self.stems.get(word[:n], 0.0))
+            if n <= len(word) <= n + LONGEST_ENDING:
+                weight = max(weight, self.stems.get(word[:n], 0.0))
         if weight:
             return INSULT, weight
         kind = self.fixed.get(word, OTHER)
-        return kind, THREAT_WEIGHT if kind == THREAT else 0.0
+        return kind, 0.0 if kind != THREAT else DEADLY_WEIGHT if word in DEADLY else THREAT_WEIGHT
 
     def clause_weight(self, clause: str) -> float:
+        found = [self.classify(word) for word in WORD.findall(clause)]
+        state, kinds = 0, []
+        for kind, _ in reversed(found):
+            state, given, _ = self.ahead[state, kind]
+            kinds.append(given)
         state, total = 0, 0.0
-        for word in WORD.findall(clause):
-            kind, weight = self.classify(word)
+        for kind, (_, weight) in zip(reversed(kinds), found):
             state, _, factor = self.machine[state, kind]
             total += weight * factor
         return total
@@ -133,16 +163,15 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def stems_of(text: str | None) -> Iterator[tuple[str, str]]:
-    """Each word with its neighbours, as itself (``=word``) and as stems of 4, 5 and 6 letters."""
+def stems_of(text: str | None) -> Iterator[tuple[str, str, str]]:
+    """Each word with its neighbours, as itself (``=word``) and by all its beginnings from five letters on: candidate, neighbours, word."""
     words = WORD.findall((text or "").lower())
     for i, w in enumerate(words):
         near = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
         if len(w) >= 3:
-            yield "=" + w, near
-        for n in (4, 5, 6):
-            if len(w) > n:
-                yield w[:n], near
+            yield "=" + w, near, w
+        for n in range(max(SHORTEST_STEM, len(w) - LONGEST_ENDING), len(w) + 1):
+            yield w[:n], near, w
 
 
 def fit_toxicity(
@@ -152,8 +181,8 @@ def fit_toxicity(
     """Learn insults from the raw sources that ``labels`` (``id, toxic``: 1 or 0; others teach nothing) names.
 
     At most ``max_toxic`` toxic and ``max_clean`` clean labels are used, chosen by a hash
-    of the id among those that have a source, so only that many ids are sent to the texts. A candidate is a word or a stem that occurs in at least
-    ``min_contexts`` different neighbourhoods in toxic texts, and in about as many
+    of the id among those that have a source, so only that many ids are sent to the texts. A candidate is a word, or a beginning that at least two
+    forms of a word share, that occurs in at least ``min_contexts`` different neighbourhoods in toxic texts, and in about as many
     neighbourhoods as texts (a word that only copies of one text share has few).
     It is an insult if toxic texts have it ``min_ratio`` times as
     often as clean ones; its weight is the logarithm of that. The ``max_candidates``
@@ -176,21 +205,24 @@ def fit_toxicity(
         for batch in batches:
             for value in batch.column(0):
                 once = {}
-                for stem, context in stems_of(value.as_py()):
-                    once.setdefault(stem, context)
-                for stem, context in once.items():
+                for stem, context, word in stems_of(value.as_py()):
+                    once.setdefault(stem, (context, word))
+                for stem, seen in once.items():
                     texts[stem] += 1
-                    near[stem].add(context)
-        rows = [(stem, context, 0) for stem, all_of in near.items() for context in all_of] + [(s, None, n) for s, n in texts.items()]
+                    near[stem].add(seen)
+        rows = [(stem, *seen, 0) for stem, all_of in near.items() for seen in all_of] + [(s, None, None, n) for s, n in texts.items()]
         for at in range(0, len(rows), 10_000):
             cut = rows[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut), (pa.string(), pa.string(), pa.int64()))], names=["stem", "near", "texts"])
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut), kinds)], names=["stem", "near", "form", "texts"])
 
     found = (
-        part(1, max_toxic).mapInArrow(contexts, "stem string, near string, texts long")
-        .groupBy("stem", "near").agg(F.sum("texts").alias("texts"))
-        .groupBy("stem").agg(F.count("near").alias("contexts"), F.sum("texts").alias("texts"))
+        part(1, max_toxic).mapInArrow(contexts, "stem string, near string, form string, texts long")
+        .groupBy("stem").agg(
+            F.count_distinct("near").alias("contexts"), F.count_distinct("form").alias("forms"), F.sum("texts").alias("texts")
+        )
         .where((F.col("contexts") >= min_contexts) & (2 * F.col("contexts") >= F.col("texts")))
+        .where(F.startswith("stem", F.lit("=")) | (F.col("forms") >= 2))
         .orderBy(F.desc("texts"), "stem").limit(max_candidates).collect()
     )
     candidates = {r["stem"]: r["texts"] for r in found}
@@ -200,7 +232,7 @@ def fit_toxicity(
         for batch in batches:
             for value in batch.column(0):
                 seen += 1
-                for stem in {s for s, _ in stems_of(value.as_py()) if s in candidates}:
+                for stem in {s for s, _, _ in stems_of(value.as_py()) if s in candidates}:
                     texts[stem] += 1
         texts[""] = seen
         yield pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["stem", "n"])
@@ -211,17 +243,16 @@ def fit_toxicity(
     ratios = {
         s: (n + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean.get(s, 0) + 0.5) for s, n in candidates.items()
     }
-    # A longer form takes the place of a stem if it has most of its texts and tells much better.
-    outdone = {
-        form[:n] for form, ratio in ((s.removeprefix("="), r) for s, r in ratios.items()) for n in (4, 5)
-        if ratio >= 4 * ratios.get(form[:n], math.inf)
-        and max(candidates.get(form, 0), candidates.get("=" + form, 0)) >= 0.6 * candidates[form[:n]]
-    }
-    stems, words = {}, {}
-    for stem in sorted(candidates, key=lambda s: (s.startswith("="), len(s), s)):
-        plain = stem.removeprefix("=")
-        if ratios[stem] >= min_ratio and stem not in outdone and not any(plain[:n] in stems for n in (4, 5, 6)):
-            (words if stem.startswith("=") else stems)[plain] = math.log(ratios[stem])
+    # The longest beginning stands for its forms: a longer one, or a whole word, with most texts of a stem takes its place.
+    telling = {s for s, ratio in ratios.items() if ratio >= min_ratio}
+    outdone = set()
+    for form in telling:
+        plain = form.removeprefix("=")
+        for n in range(SHORTEST_STEM, len(plain) + (form != plain)):
+            if plain[:n] != form and candidates[form] >= 0.8 * candidates.get(plain[:n], math.inf):
+                outdone.add(plain[:n])
+    stems = {s: math.log(ratios[s]) for s in sorted(telling - outdone) if not s.startswith("=")}
+    words = {s[1:]: math.log(ratios[s]) for s in sorted(telling) if s.startswith("=")}
     return ToxicityModel(stems, words, prior)
 
 
