@@ -118,8 +118,9 @@ def text_rows(ids: list, texts: list, min_words: int, max_covered: float, max_re
     return out
 
 
-#: least words of a run that counts, largest share of words in such runs, most words in one run
-LIMITS = (8, 0.5, 300)
+#: least words of a run that counts, largest share of words in such runs, most words in one run. The share is below that of
+#: the base rule, whose windows of three words lie in every such run, so that it can reject a text on its own.
+LIMITS = (8, 0.3, 300)
 
 
 def keep_good_texts(rows: DataFrame, text: str = "raw_text", limits: tuple[int, float, int] = LIMITS) -> DataFrame:

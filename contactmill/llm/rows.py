@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SLICE_ROWS = 128
+SLICE_CHARS = 600_000
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -34,15 +35,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
 
 
 def filter_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """The rows of ``df``, all columns as they are, for which ``f = make()`` is true of the text; ``f`` takes a list of texts."""
+    """The rows of ``df``, all columns as they are, for which ``f = make()`` is true of the text.
+
+    ``f`` takes a list of texts, which ends at ``SLICE_ROWS`` texts or with the text that brings it to ``SLICE_CHARS``.
+    """
     at_text = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                yield part.filter(pa.array(f(part.column(at_text).to_pylist()), pa.bool_()))
+            at, texts, chars = 0, [], 0
+            for i in range(batch.num_rows):
+                texts.append(batch.column(at_text)[i].as_py())
+                chars += len(texts[-1] or "")
+                if chars >= SLICE_CHARS or len(texts) == SLICE_ROWS or i + 1 == batch.num_rows:
+                    yield batch.slice(at, len(texts)).filter(pa.array(f(texts), pa.bool_()))
+                    at, texts, chars = i + 1, [], 0
 
     return df.mapInArrow(run, df.schema)
 

@@ -55,3 +55,14 @@ def test_rules(spark):
     strict = repeats.quality_rules(rows, max_covered=0.1).where("kept").collect()
     assert sorted(r["id"] for r in strict) == [0, 1]
     assert repeats.quality_rules(rows.limit(0)).count() == 0
+
+
+def test_covered_share_rejects_what_the_base_keeps(spark):
+    """Runs over 0.3 but not over half of the words; several very long texts in one slice of ``keep_good_texts``."""
+    twice = " ".join(f"w{i}" for i in range(20))
+    texts = [" ".join([twice, *[f"u{i}" for i in range(60)], twice]), " ".join([twice, *[f"u{i}" for i in range(160)], twice])]
+    long_texts = [" ".join(f"{k}x{i}" for i in range(120_000)) for k in range(3)]
+    rows = spark.createDataFrame(list(enumerate([*texts, *long_texts])), "id long, raw_text string").coalesce(1)
+    out = {r["id"]: r for r in repeats.quality_rules(rows).collect()}
+    assert not out[0]["base_failed"] and not out[0]["kept"] and out[1]["kept"]
+    assert sorted(r["id"] for r in repeats.keep_good_texts(rows).select("id").collect()) == [1, 2, 3, 4]
