@@ -263,12 +263,15 @@ def pack_sources(raw_sources: DataFrame, vocabulary: str, end_id: int = 2, windo
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(vocabulary)
         end, size = np.array([end_id], model.dtype).tobytes(), np.dtype(model.dtype).itemsize
-        for batch in batches:
-            for part in parts(batch, 1):
-                texts = part.column(1).cast(pa.string())
-                ids = [x + end for x in model.encode_batch(texts)]
-                columns = part.column(0).to_pylist(), [len(x) // size for x in ids], [size] * len(ids), ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
+        try:
+            for batch in batches:
+                for part in parts(batch, 1):
+                    texts = part.column(1).cast(pa.string())
+                    ids = [x + end for x in model.encode_batch(texts)]
+                    columns = part.column(0).to_pylist(), [len(x) // size for x in ids], [size] * len(ids), ids
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
+        finally:
+            model.ids = Recent({})  # a Python worker outlives its task and runs other stages
 
     tokens = raw_sources.select("id", "raw_text").mapInArrow(tokenized, schema)
     tokens = cut_lineage(tokens.withColumn("source", F.monotonically_increasing_id()))
