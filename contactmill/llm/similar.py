@@ -2,7 +2,8 @@
 
 Texts with equal sets are one class. For the rest:
 
-* Counting. The shingles of all texts are counted in ranges of their hashes. A text
+* Counting. The shingles of all texts are counted in ranges of their hashes, except those
+  that a sample finds in very many texts, which come last in the order of rarity. A text
   whose shingles occur elsewhere too rarely for any partner to reach the
   threshold leaves here, which is most of them.
 * Light sets, of few shingles, put out every subset of the size that two linked
@@ -23,12 +24,9 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from contactmill.llm.rows import map_rows, stream_rows
 from contactmill.operators.linkage import connected_components
@@ -42,6 +40,8 @@ MAX_LIGHT = 16
 SHORT_LIST = 200
 TILE_ROWS = 256
 COLUMNS_AT_ONCE = 4096
+STRETCH = 1 << 16
+SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHARE, MAX_COMMON = 2048, 32, 64, 1 << 16
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -55,34 +55,44 @@ def mixed(x: np.ndarray, key: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of a constant and of its inverse, as many as the longest text so far needs."""
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)])
 
-    up = down = np.ones(1, np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            one = np.ones(1, np.uint64)
-            cls.up = np.concatenate([one, np.cumprod(np.full(size, PRIME), dtype=np.uint64)])
-            cls.down = np.concatenate([one, np.cumprod(np.full(size, INVERSE), dtype=np.uint64)])
-        return cls.up[:n], cls.down[:n]
+UP, DOWN = powers(int(PRIME), STRETCH), powers(int(INVERSE), STRETCH)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of five words (of all words, if there are fewer)."""
-    octets = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
-    if not len(octets):
-        return np.zeros(0, np.uint64)
+def word_hashes(octets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words; they depend on a word's characters alone, not on where it stands."""
     word = ~SPACE[octets]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = Powers.of(len(octets) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((octets.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    words = mixed((sums[ends] - sums[starts]) * down[starts])
+    up, down = (UP, DOWN) if len(octets) <= STRETCH else (powers(int(PRIME), len(octets)), powers(int(INVERSE), len(octets)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((octets.astype(np.uint64) + np.uint64(1)) * up[: len(octets)], dtype=np.uint64)])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of five words (of all words, if there are fewer).
+
+    A long text is read in stretches that end at white space, so only its hashes are held whole.
+    """
+    octets = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
+    found, at = [np.zeros(0, np.uint64)], 0
+    while at < len(octets):
+        end, reach = min(len(octets), at + STRETCH), STRETCH
+        while end < len(octets):  # back to the last blank, or on to one if a single word fills the stretch
+            blanks = np.flatnonzero(SPACE[octets[at:end]])
+            if len(blanks):
+                end = at + int(blanks[-1]) + 1
+                break
+            reach *= 2
+            end = min(len(octets), at + reach)
+        found.append(word_hashes(octets[at:end]))
+        at = end
+    words = np.concatenate(found)
+    if not len(words):
+        return words
     size = min(WORDS, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for at in range(size):
@@ -96,82 +106,100 @@ def needed(n: int, m: int) -> int:
 
 
 # --- counting ----------------------------------------------------------------
-BLOCKS = "block long, range int, rows binary, ids array<long>, counts binary, prints binary, ranks binary"
+BLOCKS = "block long, range long, head binary, ids array<long>, texts binary, counts binary, prints binary, small binary"
 SETS = "id long, key long, n long, h1 long, h2 long, first int, prefix array<long>, small array<long>"
+COMMON_RANK = 255
 
 
-def cut_blocks(batches: Iterator[pa.RecordBatch], n_ranges: int) -> Iterator[tuple]:
-    """Rows of one block of texts: for each range of hashes the counts per text and the 32-bit prints of its shingles."""
-    shift = np.uint64(64 - n_ranges.bit_length() + 1)
-    block = TaskContext.get().partitionId() << 24
-
-    def rows(ids, keys, sets):
-        lengths = np.array([len(s) for s in sets], np.int64)
-        every = np.concatenate(sets)
-        text = np.repeat(np.arange(len(sets)), lengths)
-        head = np.zeros((len(sets), 4), np.int64)
-        small = []
-        for i, s in enumerate(sets):
-            head[i] = keys[i], len(s), int(mixed(s).sum(dtype=np.uint64).view(np.int64)), int(mixed(s, 0xD6E8FEB86659FD93).sum(dtype=np.uint64).view(np.int64))
-            if len(s) <= MAX_LIGHT:
-                small.append(s)
-        in_range = (every >> shift).astype(np.int64)
-        order = np.argsort(in_range, kind="stable")
-        every, text, in_range = every[order], text[order], in_range[order]
-        bounds = np.searchsorted(in_range, np.arange(n_ranges + 1))
-        for r in range(n_ranges):
-            cut = slice(bounds[r], bounds[r + 1])
-            counts = np.bincount(text[cut], minlength=len(sets)).astype("<u4").tobytes()
-            prints = every[cut].astype("<u4").tobytes()
-            if r == 0:
-                smalls = np.concatenate(small).astype("<u8").tobytes() if small else b""
-                yield block, r, head.astype("<i8").tobytes(), ids, counts, prints, smalls
-            else:
-                yield block, r, None, None, counts, prints, None
+def cut_blocks(rows: Iterator[tuple], n_ranges: int, common: np.ndarray) -> Iterator[tuple]:
+    """Rows of each block of texts: one per range of hashes that any of its shingles is in, and one with the heads of its texts.
 
+    A range's row holds the 32-bit prints of its shingles, in order of text, and how many each text has there; a text without any
+    takes no room. The row of heads has a range of its own below 0, and the tokens of common shingles, which are not counted.
+    """
+    bits = n_ranges.bit_length() - 1
+    block = TaskContext.get().partitionId() << 24
     ids, keys, sets, size = [], [], [], 0
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids.append(batch.column(0)[i].as_py())
-            keys.append(batch.column(1)[i].as_py())
-            sets.append(shingles(batch.column(2)[i].as_py()))
-            size += len(sets[-1])
-            if len(ids) == BLOCK_ROWS or size >= BLOCK_SHINGLES:
-                yield from rows(ids, keys, sets)
-                block += 1
-                ids, keys, sets, size = [], [], [], 0
+    for i, key, text in rows:
+        ids.append(i)
+        keys.append(key)
+        sets.append(shingles(text))
+        size += len(sets[-1])
+        if len(ids) == BLOCK_ROWS or size >= BLOCK_SHINGLES:
+            yield from block_rows(block, ids, keys, sets, bits, common)
+            block += 1
+            ids, keys, sets, size = [], [], [], 0
     if ids:
-        yield from rows(ids, keys, sets)
+        yield from block_rows(block, ids, keys, sets, bits, common)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(values)))
+
+
+def block_rows(block: int, ids: list, keys: list, sets: list, bits: int, common: np.ndarray) -> Iterator[tuple]:
+    head = np.zeros((len(sets), 4), "<i8")
+    for i, s in enumerate(sets):
+        head[i] = keys[i], len(s), int(mixed(s).sum(dtype=np.uint64).view(np.int64)), int(mixed(s, 0xD6E8FEB86659FD93).sum(dtype=np.uint64).view(np.int64))
+    small = b"".join(s.astype("<u8").tobytes() for s in sets if len(s) <= MAX_LIGHT)
+    every = np.concatenate(sets)
+    text = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    in_range = (every >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
+    often = np.isin(every, common) if len(common) else np.zeros(len(every), bool)
+    begin, counts = runs(text[often])
+    tokens = (every[often] & np.uint64(0xFFFFFFFF)).astype("<i8") | (in_range[often] << 32)
+    yield block, -1 - block, head.tobytes(), ids, text[often][begin].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), tokens.tobytes(), small
+    order = np.flatnonzero(~often)
+    order = order[np.argsort(in_range[order], kind="stable")]
+    every, text, in_range = every[order].astype("<u4"), text[order], in_range[order]
+    for at, n in zip(*runs(in_range)):
+        own = text[at : at + n]
+        begin, counts = runs(own)
+        yield (
+            block, int(in_range[at]), None, None, own[begin].astype("<u4").tobytes(), counts.astype("<u4").tobytes(),
+            every[at : at + n].tobytes(), None,
+        )
 
 
 def count_range(held: list[tuple]) -> Iterator[tuple]:
     """Keep the prints that more than one text has, each with the rank of its count (eighths of a power of two)."""
-    prints = np.concatenate([np.frombuffer(r[5], "<u4") for r in held])
-    distinct, place, counts = np.unique(prints, return_inverse=True, return_counts=True)
-    rank = np.minimum(255, np.floor(8 * np.log2(counts))).astype(np.uint8)[place] if len(prints) else np.zeros(0, np.uint8)
+    if held[0][1] < 0:
+        yield from ((*row, None) for row in held)
+        return
+    prints = np.concatenate([np.frombuffer(row[6], "<u4") for row in held])
+    _, place, counts = np.unique(prints, return_inverse=True, return_counts=True)
+    rank = np.minimum(COMMON_RANK, np.floor(8 * np.log2(counts))).astype(np.uint8)[place]
     at = 0
-    for block, r, head, ids, n, own, small in held:
-        n = np.frombuffer(n, "<u4")
-        size = int(n.sum())
-        text, own_rank = np.repeat(np.arange(len(n)), n), rank[at : at + size]
+    for block, r, _, _, texts, counts, own, _ in held:
+        texts, counts = np.frombuffer(texts, "<u4"), np.frombuffer(counts, "<u4")
+        own = np.frombuffer(own, "<u4")
+        own_rank = rank[at : at + len(own)]
+        at += len(own)
         shared = own_rank > 0
-        kept = np.frombuffer(own, "<u4")[shared]
-        left = np.bincount(text[shared], minlength=len(n)).astype("<u4").tobytes()
-        yield block, r, head, ids, left, kept.tobytes(), own_rank[shared].tobytes(), small
-        at += size
+        if shared.any():
+            left = np.repeat(texts, counts)[shared]
+            begin, n = runs(left)
+            yield (
+                block, r, None, None, left[begin].tobytes(), n.astype("<u4").tobytes(), own[shared].tobytes(), None,
+                own_rank[shared].tobytes(),
+            )
 
 
 def finish_block(held: list[tuple]) -> Iterator[tuple]:
     """One row per text; ``prefix`` holds its rarest shared shingles, as many as a linked set must meet, if it can have a link."""
-    head, ids, small = next((h[2], h[3], h[7]) for h in held if h[2] is not None)
-    head = np.frombuffer(head, "<i8").reshape(-1, 4)
+    heads, ids, small = next((h[2], h[3], h[7]) for h in held if h[1] < 0)
+    heads = np.frombuffer(heads, "<i8").reshape(-1, 4)
     small, taken = np.frombuffer(small, "<i8"), 0
-    text = np.concatenate([np.repeat(np.arange(len(head)), np.frombuffer(h[4], "<u4")) for h in held])
-    token = np.concatenate([(np.frombuffer(h[5], "<u4").astype(np.int64) | (h[1] << 32)) for h in held])
-    rank = np.concatenate([np.frombuffer(h[6], np.uint8) for h in held])
+    text = np.concatenate([np.repeat(np.frombuffer(h[4], "<u4"), np.frombuffer(h[5], "<u4")) for h in held])
+    token = np.concatenate([
+        np.frombuffer(h[6], "<i8") if h[1] < 0 else np.frombuffer(h[6], "<u4").astype(np.int64) | (h[1] << 32) for h in held
+    ])
+    rank = np.concatenate([np.full(len(h[6]) // 8, COMMON_RANK, np.uint8) if h[1] < 0 else np.frombuffer(h[8], np.uint8) for h in held])
     order = np.lexsort((token, rank, text))
-    token, bounds = token[order], np.searchsorted(text[order], np.arange(len(head) + 1))
-    for i, (key, n, h1, h2) in enumerate(head.tolist()):
+    token, bounds = token[order], np.searchsorted(text[order], np.arange(len(heads) + 1))
+    for i, (key, n, h1, h2) in enumerate(heads.tolist()):
         alone = n - int(bounds[i + 1] - bounds[i])
         allowed = n // 5
         prefix = token[bounds[i] : bounds[i] + allowed + 1 - alone].tolist() if n and alone <= allowed else None
@@ -192,22 +220,57 @@ def by_group(rows: Iterator[tuple], at: int, fn) -> Iterator[tuple]:
         yield from fn(held)
 
 
-def sketch(raw_sources: DataFrame) -> DataFrame:
+def common_shingles(texts: DataFrame, rows: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts have, at most ``MAX_COMMON``, found in about ``SAMPLE_TEXTS`` texts chosen by a hash.
+
+    They are in at least ``COMMON_TEXTS`` texts of the sample and in one of ``COMMON_SHARE``. The order of rarity puts them last
+    uncounted, so no task ever holds all occurrences of one. Results do not depend on which they are: a frequent shingle that the sample
+    missed is counted like any other.
+    """
+    every = max(1, rows // SAMPLE_TEXTS)
+    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("raw_text")
+
+    def counted(rows):
+        found, counts, pending, size, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, 0
+
+        def fold():
+            every, place = np.unique(np.concatenate([found, *pending]), return_inverse=True)
+            weight = np.concatenate([counts, np.ones(len(place) - len(counts), np.int64)])
+            return every, np.bincount(place, weight, len(every)).astype(np.int64)
+
+        for (text,) in rows:
+            held += 1
+            pending.append(shingles(text))
+            size += len(pending[-1])
+            if size > RANGE_SHINGLES // 2:
+                (found, counts), pending, size = fold(), [], 0
+        found, counts = fold()
+        for at in range(0, len(found), COLUMNS_AT_ONCE):
+            cut = slice(at, at + COLUMNS_AT_ONCE)
+            yield found[cut].view(np.int64).tolist(), counts[cut].tolist(), 0
+        yield [], [], held
+
+    counts = cut_lineage(stream_rows(sample, counted, "shingles array<long>, counts array<long>, held long"))
+    held = counts.agg(F.sum("held").alias("held")).first()["held"] or 0
+    least = max(COMMON_TEXTS, -(-held // COMMON_SHARE))
+    pairs = counts.select(F.inline(F.arrays_zip(F.col("shingles").alias("shingle"), F.col("counts").alias("n"))))
+    often = pairs.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = often.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).select("shingle").collect()
+    return np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64))
+
+
+def sketch(raw_sources: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """``SETS`` for every raw source, written to the shared folder."""
     texts = raw_sources.select("id", "raw_text").withColumn("key", F.xxhash64("id", "raw_text"))
-    octets = texts.agg(F.sum(F.octet_length("raw_text").cast("long")).alias("n")).first()["n"] or 0
-    n_ranges = 64
-    while n_ranges * RANGE_SHINGLES < octets // 6:
-        n_ranges *= 2
-    target = to_arrow_schema(StructType.fromDDL(BLOCKS))
-
-    def blocks(batches):
-        for row in cut_blocks(batches, n_ranges):
-            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, target)], schema=target)
-
-    cut = texts.select("id", "key", "raw_text").mapInArrow(blocks, BLOCKS)
+    size = texts.agg(F.sum(F.octet_length("raw_text").cast("long")).alias("octets"), F.count("*").alias("rows")).first()
+    if n_ranges is None:
+        n_ranges = 64
+        while n_ranges * RANGE_SHINGLES < (size["octets"] or 0) // 6:
+            n_ranges *= 2
+    common = common_shingles(texts, size["rows"])
+    cut = stream_rows(texts.select("id", "key", "raw_text"), lambda rows: cut_blocks(rows, n_ranges, common), BLOCKS)
     ranged = cut.repartition("range").sortWithinPartitions("range")
-    counted = stream_rows(ranged, lambda rows: by_group(rows, 1, count_range), BLOCKS + ", small binary")
+    counted = stream_rows(ranged, lambda rows: by_group(rows, 1, count_range), BLOCKS + ", ranks binary")
     whole = counted.repartition("block").sortWithinPartitions("block")
     return cut_lineage(stream_rows(whole, lambda rows: by_group(rows, 0, finish_block), SETS))
 

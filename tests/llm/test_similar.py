@@ -46,9 +46,10 @@ def corpus(seed):
     return list(enumerate(texts, 1))
 
 
-@pytest.mark.parametrize("seed,short,light,tile", [(1, 200, 16, 256), (2, 3, 6, 4), (3, 2, 0, 2)])
-def test_like_brute_force(spark, monkeypatch, seed, short, light, tile):
+@pytest.mark.parametrize("seed,short,light,tile,common", [(1, 200, 16, 256, 32), (2, 3, 6, 4, 3), (3, 2, 0, 2, 2)])
+def test_like_brute_force(spark, monkeypatch, seed, short, light, tile, common):
     monkeypatch.setattr(similar, "SHORT_LIST", short)
+    monkeypatch.setattr(similar, "COMMON_TEXTS", common)
     monkeypatch.setattr(similar, "TILE_ROWS", tile)
     if light < 16:
         monkeypatch.setattr(similar, "light_boundary", lambda classes: light)
@@ -70,9 +71,49 @@ def test_subsets_link_exactly():
         assert bool(meet) == (100 * common >= 80 * (n + m - common))
 
 
-def test_shingles_of_long_text():
+def test_shingles_of_long_text(monkeypatch):
     text = " ".join(f"w{i % 5000}" for i in range(40_000))
     assert len(similar.shingles(text)) == 5000 == len(np.unique(similar.shingles(text)))
+    texts = [text, "x" * 500_000 + " a b c d e f " + "y" * 70_000, "  lone  ", "é" * 100 + "\t\n" + text[:3000]]
+    whole = [similar.shingles(t).tolist() for t in texts]
+    monkeypatch.setattr(similar, "STRETCH", 16)
+    assert [similar.shingles(t).tolist() for t in texts] == whole
+
+
+def test_rows_to_ranges_do_not_grow_with_their_number(monkeypatch):
+    monkeypatch.setattr(similar.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    rng = random.Random(5)
+    often = [f"w{i}" for i in range(40)]
+    rows = [(i, i, " ".join([f"t{rng.randrange(10**6)}" for _ in range(60)] + often)) for i in range(300)]
+    common = np.unique(similar.shingles(" ".join(often)))
+    sizes = {}
+    for n_ranges in (64, 128, 1024, 8192):
+        cut = list(similar.cut_blocks(iter(rows), n_ranges, common))
+        counted = [r for r in cut if r[1] >= 0]
+        sizes[n_ranges] = sum(len(r[6]) for r in counted)
+        assert sum(len(r[4]) + len(r[5]) for r in counted) <= 2 * sizes[n_ranges]
+        # No occurrence of a common shingle goes to a range; all of them stay with their block.
+        assert sum(len(r[6]) for r in cut if r[1] < 0) == 8 * len(common) * len(rows)
+    assert len(set(sizes.values())) == 1 and sizes[64] == 4 * 300 * (60 + 40 - 4 - len(common))
+    assert len(cut) <= sizes[64] // 4 + 1
+
+
+@pytest.mark.parametrize("n_ranges", [1, 64, 1024])
+def test_sets_do_not_depend_on_ranges(spark, monkeypatch, n_ranges):
+    monkeypatch.setattr(similar, "COMMON_TEXTS", 5)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 16)
+    rows = corpus(6)
+    table = spark.createDataFrame(rows, "id long, raw_text string").repartition(2)
+    sets = {i: shingle_set(t) for i, t in rows}
+    often = {}
+    for own in sets.values():
+        for s in own:
+            often[s] = often.get(s, 0) + 1
+    for r in similar.sketch(table, n_ranges).collect():
+        own = sets[r["id"]]
+        alone = sum(often[s] == 1 for s in own)
+        assert (r["n"], r["first"]) == (len(own), alone)
+        assert (len(r["prefix"]) if r["prefix"] is not None else None) == (len(own) // 5 + 1 - alone if own and alone <= len(own) // 5 else None)
 
 
 def test_odd_tables(spark):
