@@ -41,6 +41,10 @@ TAIL = 48
 # one without a digit, is ordinary if so many different words stand before it.
 MIN_LENGTH = 8
 ORDINARY = 3
+# A long string of letters and digits in turn, behind a key, looks made by chance: it counts this much for its key before anything is known of it.
+CHANCE, CHANCE_LENGTH = 0.75, 16
+# A sign and a country code alone.
+DIAL = "^[+-][0-9]{1,3}$"
 
 
 def valid(kind: str, match: Column) -> Column:
@@ -51,7 +55,15 @@ def valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    return F.lit(True)
+    return ~match.rlike(DIAL)
+
+
+def by_chance(match: Column) -> Column:
+    """Whether a string looks drawn at random: long, letters followed by digits more than once, and many different characters."""
+    return (
+        (F.length(match) >= CHANCE_LENGTH) & (F.regexp_count(match, F.lit("[A-Za-z][0-9]")) >= 2)
+        & (F.size(F.array_distinct(F.split(match, ""))) >= CHANCE_LENGTH // 2)
+    )
 
 
 def places(texts: DataFrame, kind: str, pattern: str, prefilter: str) -> DataFrame:
@@ -119,30 +131,32 @@ def discovered(spans: DataFrame, codes: DataFrame, rounds: int, trusted: float,
 
     Strings of a fixed format count 1; years, and ordinary strings (short or without a digit,
     with ``ORDINARY`` different words before them in the whole table) 0; the rest is unknown and
-    counts for a pattern only once found.
+    counts for a pattern only once found. A string that looks drawn at random counts ``CHANCE`` for the key before it from the
+    start, so a kind of identifier needs no other kind to be known by; it is found itself only if a pattern is trusted.
     """
     edges = patterns_of(spans.where(F.col("kind") != FOUND)).unionByName(patterns_of(codes)).select(
         "pattern", "match",
         F.when(F.col("kind") != FOUND, 1.0).when(F.col("match").rlike(YEAR), 0.0).alias("seed"),
     )
-    edges = cut_lineage(edges.groupBy("pattern", "match").agg(F.max("seed").alias("seed")))
+    edges = edges.groupBy("pattern", "match").agg(F.max("seed").alias("seed"))
+    chance = F.when(F.col("seed").isNull() & F.col("pattern").startswith("key ") & by_chance(F.col("match")), CHANCE)
+    edges = cut_lineage(edges.withColumn("prior", F.coalesce(chance, F.lit(0.0))))
     plain = (F.length("match") < MIN_LENGTH) | ~F.col("match").rlike("[0-9]")
     ordinary = edges.where(F.col("seed").isNull() & plain & F.col("pattern").startswith("word ")).groupBy("match").agg(
         F.count("*").alias("words")
     ).where(F.col("words") >= ORDINARY).select("match", F.lit(0.0).alias("ordinary"))
-    edges = cut_lineage(edges.join(ordinary, "match", "left").select("pattern", "match", F.coalesce("seed", "ordinary").alias("seed")))
+    edges = cut_lineage(edges.join(ordinary, "match", "left").select("pattern", "match", F.coalesce("seed", "ordinary").alias("seed"), "prior"))
     scores = None
     for _ in range(rounds):
-        known = edges.withColumn("score", F.col("seed")) if scores is None else (
-            edges.join(scores, "match", "left").withColumn("score", F.coalesce("seed", "found"))
-        )
+        known = edges.withColumn("found", F.lit(0.0)) if scores is None else edges.join(scores, "match", "left")
+        known = known.withColumn("score", F.coalesce("seed", F.greatest("found", "prior")))
         good = F.col("score") >= trusted
         strength = known.groupBy("pattern").agg(
             F.sum(F.when(good, F.col("score"))).alias("for"), F.count_if(good).alias("support"), F.count_if(F.col("seed") == 0).alias("against")
         ).where(F.col("support") >= min_support).select(
             "pattern", (F.col("for") / (F.col("for") + F.col("against") + 0.5)).alias("trust")
         ).where(F.col("trust") >= trusted)
-        doubt = F.sum(F.log(1.001 - F.col("trust")))
+        doubt = F.sum(F.log(1.001 - F.col("trust"))) + F.log(1 - F.max("prior"))
         scores = cut_lineage(
             edges.where("seed IS NULL").join(strength, "pattern").groupBy("match").agg((1 - F.exp(doubt)).alias("found"))
         )
@@ -178,7 +192,8 @@ def find_private_data(raw_sources: DataFrame, rounds: int = 3, trusted: float =
     number of digits) are dropped. Kind ``id`` marks other identifiers outside all fixed formats, of any
     length: tokens with a digit, groups of capitals and digits with one blank or dot between
     them, and words without a digit behind a key and ``=`` or ``:``, that patterns with a trust of
-    ``trusted`` and ``min_support`` known strings name after at most ``rounds`` rounds over the whole table.
+    ``trusted`` and ``min_support`` known strings name after at most ``rounds`` rounds over the whole table. Strings that look
+    drawn at random count for the key before them as if they were known in part. A sign with up to three digits is none.
     Years and short or digit-free strings that follow many different words are none. A null or empty text
     has no spans; repeated rows give repeated rows; other columns are ignored.
     """

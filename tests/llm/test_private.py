@@ -1,5 +1,9 @@
+import os
+import random
 import re
 
+import pytest
+
 from contactmill.llm import private
 
 PLAIN = {
@@ -75,3 +79,39 @@ def test_finds_short_grouped_and_digit_free_identifiers(spark):
     found = {r["id"]: [texts[r["id"]][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "id"] for r in private.find_private_data(rows).collect()}
     assert [found[5 + i] for i in range(len(wanted))] == [[w] for w in wanted]
     assert not any(found[5 + len(wanted) + i] for i in range(len(ordinary)))
+
+
+def found_in(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, raw_text string")
+    return [[texts[r["id"]][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "id"] for r in private.find_private_data(rows).orderBy("id").collect()]
+
+
+def test_random_strings_make_their_key_known(spark):
+    rng = random.Random(1)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(5)]
+    texts = [f'the secret = "{k}" was set' for k in keys] + ["the secret = ab12 was set"]  # one kind alone, no address beside it
+    texts += [f"see chapter{i}-of-the-long-manual here and {keys[0][::-1]} there" for i in range(5)]  # no key before them
+    texts += [f"file: notes-of-the-meeting-20{i} today" for i in range(5)] + ["dial +1 or +49 now", "dial a@b.co now"] * 3
+    out = found_in(spark, texts)
+    assert out[:6] == [[k] for k in keys] + [["ab12"]]
+    assert not any(out[6:])
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_planted_tokens(spark, scale):
+    path = f"/root/testdata/{scale}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    planted = re.compile(r"token = \"([0-9a-f]{40})\"", re.I)
+    documents = spark.read.parquet(path)
+    rows = private.find_private_data(documents.selectExpr("doc_id AS id", "text AS raw_text"))
+    out = rows.join(documents.selectExpr("doc_id AS id", "text"), "id").where("lower(text) LIKE '%token = %' OR exists(spans, s -> s.kind = 'id')").collect()
+    wanted, caught, others = 0, 0, []
+    for r in out:
+        spans = {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "id"}
+        tokens = {m.span(1) for m in planted.finditer(r["text"])}
+        wanted, caught = wanted + len(tokens), caught + len(tokens & spans)
+        others += [r["text"][a:b] for a, b in spans - tokens]
+    assert caught >= 0.9 * wanted, (wanted, caught)
+    # Besides, only numbers as long as a card's that stand where cards do.
+    assert all(re.fullmatch("[0-9]{16}", other) for other in others) and len(others) <= 0.2 * caught, others
