@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
@@ -57,17 +58,18 @@ def unwanted(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class Page:
-    """The blocks of text of one page, each with the elements it lies in.
+    """The blocks of text of one page, each with the innermost element it lies in.
 
-    ``elements[i]`` is [name, hash, whether markup drops it, whether it is paragraph-like text of an article];
-    ``blocks`` are (text, indexes of the elements around it).
+    ``elements[i]`` is [name, hash, whether markup drops it, whether it is paragraph-like text of an article, index
+    of the element around it or -1]; an element comes after those around it. ``blocks`` are (text, index of the element
+    or -1). Reading takes time in proportion to the page, however deep its elements lie.
     """
 
     def __init__(self, source: str | None):
         self.elements: list[list] = []
-        self.blocks: list[tuple[str, tuple]] = []
-        self._open: list[tuple[int, int]] = []  # element, its first token
-        self._tokens: list[str] = []
+        self.blocks: list[tuple[str, int]] = []
+        self._open: list[tuple[int, object]] = []  # element, the running hash of what it holds
+        self._names: Counter = Counter()  # of the open elements
         self._text: list[str] = []
         self._articles = 0
         self._read(source or "")
@@ -77,8 +79,10 @@ class Page:
             text = " ".join(html.unescape("".join(self._text)).split())
             self._text.clear()
             if text:
-                self._tokens.append(text)
-                self.blocks.append((text, tuple(i for i, _ in self._open)))
+                self.blocks.append((text, self._open[-1][0] if self._open else -1))
+                if self._open:
+                    octets = text.encode("utf-8", "replace")
+                    self._open[-1][1].update(b"text %d " % len(octets) + octets)
 
     def _start(self, name: str, attributes: str) -> None:
         for ended in CLOSES.get(name, ()):
@@ -87,28 +91,33 @@ class Page:
             self._end("p", until=("article", "main", "td", "th", "div"))
         self._articles += name in ("article", "main")
         drop = unwanted(name, attributes, self._articles > 0)
-        self._open.append((len(self.elements), len(self._tokens)))
-        self._tokens.append(f"<{name}>")
-        self.elements.append([name, None, drop, self._articles > 0 and (name in TEXTUAL or name in ("article", "main"))])
+        textual = self._articles > 0 and (name in TEXTUAL or name in ("article", "main"))
+        self.elements.append([name, None, drop, textual, self._open[-1][0] if self._open else -1])
+        self._open.append((len(self.elements) - 1, hashlib.blake2b(f"<{name}>".encode("utf-8", "replace"), digest_size=8)))
+        self._names[name] += 1
 
     def _end(self, name: str, until: tuple = ()) -> None:
+        if not self._names[name]:
+            return
         for at in range(len(self._open) - 1, -1, -1):
             inner = self.elements[self._open[at][0]][0]
             if inner == name:
-                for i, first in reversed(self._open[at:]):
-                    self._close(i, first)
-                del self._open[at:]
+                while len(self._open) > at:
+                    self._close()
                 return
             if inner in until:
                 return
 
-    def _close(self, i: int, first: int) -> None:
+    def _close(self) -> None:
+        i, held = self._open.pop()
         element = self.elements[i]
+        self._names[element[0]] -= 1
         self._articles -= element[0] in ("article", "main")
-        self._tokens.append("</>")
+        digest = held.digest()
+        if self._open:
+            self._open[-1][1].update(b"element " + digest)
         if not element[3]:
-            subtree = "\x00".join(self._tokens[first:]).encode("utf-8", "replace")
-            element[1] = int.from_bytes(hashlib.blake2b(subtree, digest_size=8).digest(), "little", signed=True)
+            element[1] = int.from_bytes(digest, "little", signed=True)
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -133,26 +142,29 @@ class Page:
                 if name == "hr":
                     self._flush()
             elif closing:
-                if name in BLOCK or any(self.elements[i][0] == name for i, _ in self._open):
+                if name in BLOCK or self._names[name]:
                     self._flush()
                     self._end(name)
             elif name in BLOCK or unwanted(name, attributes, self._articles > 0):
                 self._flush()
                 self._start(name, attributes)
         self._flush()
-        for i, first in reversed(self._open):
-            self._close(i, first)
+        while self._open:
+            self._close()
 
     def subtrees(self) -> list[int]:
         return sorted({e[1] for e in self.elements if e[1] is not None and e[0] not in ("html", "body")})
 
     def main_text(self, templates: frozenset = frozenset()) -> str:
         """The blocks of the article (or of main, or of the page) that are neither dropped nor templates."""
-        bad = [e[2] or (e[1] in templates and e[0] not in ("html", "body")) for e in self.elements]
-        names = [e[0] for e in self.elements]
-        left = [b for b in self.blocks if not any(bad[i] for i in b[1])]
+        dropped, scopes = [], []
+        for name, subtree, drop, _, around in self.elements:
+            outer = scopes[around] if around >= 0 else frozenset()
+            dropped.append((around >= 0 and dropped[around]) or drop or (subtree in templates and name not in ("html", "body")))
+            scopes.append(outer | {name} if name in ("article", "main") and name not in outer else outer)
+        left = [b for b in self.blocks if b[1] < 0 or not dropped[b[1]]]
         for scope in ("article", "main"):
-            inside = [b for b in left if any(names[i] == scope for i in b[1])]
+            inside = [b for b in left if b[1] >= 0 and scope in scopes[b[1]]]
             if inside:
                 left = inside
                 break
