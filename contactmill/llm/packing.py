@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +35,8 @@ from contactmill.session import cut_lineage
 DEPTH = 6
 SHIFTS = (0, 61, -61)
 SWEEPS = 12
-CACHED_CHUNKS = 400_000
-BATCH_OCTETS = 6 << 20
+CACHED_CHUNKS, LEFT_CHUNKS, CHUNKS_AT_ONCE = 200_000, 1 << 16, 1 << 14
+BATCH_OCTETS = 2 << 20
 MARK = "|"
 # What may compose with the letter before it: no letter, number, sign or blank of any kind, nor ASCII.
 COMPOSING = r"[^\x00-\x7f\p{L}\p{N}\p{P}\p{S}\p{Z}]"
@@ -76,18 +77,24 @@ class ChunkEncoder:
         self.ids = Recent({})
 
     def _learn(self) -> None:
-        """Encode the unknown chunks in one text, each followed by a mark that is one token."""
+        """Encode the unknown chunks, many in one text, each followed by a mark that is one token."""
         unknown = [c for c in self.ids.unknown if MARK not in c and "<|" not in c]
         for chunk in self.ids.unknown.difference(unknown):
             self.ids[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         self.ids.unknown = set()
-        text = "".join([f"{c} {MARK} " for c in unknown])
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.flatnonzero(ids == self.mark)
-        ids, size = ids.tobytes(), ids.itemsize
-        ends = (ends * size).tolist()
-        starts = [0, *(e + size for e in ends)]
-        self.ids.update(zip(unknown, (ids[x:y] for x, y in zip(starts, ends))))
+        for at in range(0, len(unknown), CHUNKS_AT_ONCE):
+            part = unknown[at : at + CHUNKS_AT_ONCE]
+            text = "".join([f"{c} {MARK} " for c in part])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.mark)
+            ids, size = ids.tobytes(), ids.itemsize
+            ends = (ends * size).tolist()
+            starts = [0, *(e + size for e in ends)]
+            self.ids.update(zip(part, (ids[x:y] for x, y in zip(starts, ends))))
+
+    def forget(self) -> None:
+        """Keep only the chunks that came first, which are the frequent ones."""
+        self.ids = Recent(dict(itertools.islice(self.ids.items(), LEFT_CHUNKS)))
 
     @staticmethod
     def _plain(texts: pa.StringArray) -> pa.StringArray:
@@ -271,7 +278,8 @@ def pack_sources(raw_sources: DataFrame, vocabulary: str, end_id: int = 2, windo
                     columns = part.column(0).to_pylist(), [len(x) // size for x in ids], [size] * len(ids), ids
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
         finally:
-            model.ids = Recent({})  # a Python worker outlives its task and runs other stages
+            model.forget()  # a Python worker outlives its task and runs other stages
+            pa.default_memory_pool().release_unused()
 
     tokens = raw_sources.select("id", "raw_text").mapInArrow(tokenized, schema)
     tokens = cut_lineage(tokens.withColumn("source", F.monotonically_increasing_id()))
